@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +50,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def id_text(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text and the columns named, whatever else the table holds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+def appended(df: DataFrame, text: str, fields: str, start: Callable[[], Callable[[list], list[list]]]) -> DataFrame:
+    """df with the columns that `fields` declares, in Arrow batches. start() runs once for each
+    partition and returns what turns a list of the column `text` into lists of the new columns."""
+    new = T.StructType.fromDDL(fields)
+    at, kinds = df.columns.index(text), to_arrow_schema(new)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for b in batches:
+            cols = make(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, k.type) for c, k in zip(cols, kinds, strict=True))], [*b.schema.names, *kinds.names])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *new.fields]))

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op8_decontamination
 from .packing import op7_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_cost_balanced_packing": op7_packing,
+        "op8_decontamination": op8_decontamination,
     }
 
 
