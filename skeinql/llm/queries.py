@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import op8_decontamination
 from .packing import op7_packing
 from .pii import op6_pii
+from .simhash import op3_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_simhash_vantage": op3_simhash,
         "op6_pii_field": op6_pii,
         "op7_cost_balanced_packing": op7_packing,
         "op8_decontamination": op8_decontamination,
