@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op8_decontamination
+from .lm import op9_lm
 from .packing import op7_packing
 from .pii import op6_pii
 from .simhash import op3_simhash
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii_field": op6_pii,
         "op7_cost_balanced_packing": op7_packing,
         "op8_decontamination": op8_decontamination,
+        "op9_lm_partial_matching": op9_lm,
     }
 
 
