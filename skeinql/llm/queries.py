@@ -10,11 +10,13 @@ from .decontamination import op8_decontamination
 from .lm import op9_lm
 from .packing import op7_packing
 from .pii import op6_pii
+from .quality import OP2_SQL, op2_quality
 from .simhash import op3_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_line_frequency": op2_quality,
         "op3_simhash_vantage": op3_simhash,
         "op6_pii_field": op6_pii,
         "op7_cost_balanced_packing": op7_packing,
@@ -24,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_frequency": OP2_SQL}
