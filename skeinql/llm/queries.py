@@ -11,6 +11,7 @@ from .lm import op9_lm
 from .packing import op7_packing
 from .pii import op6_pii
 from .quality import OP2_SQL, op2_quality
+from .sentences import op4_sentences
 from .simhash import op3_simhash
 
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_frequency": op2_quality,
         "op3_simhash_vantage": op3_simhash,
+        "op4_sentence_spans": op4_sentences,
         "op6_pii_field": op6_pii,
         "op7_cost_balanced_packing": op7_packing,
         "op8_decontamination": op8_decontamination,
