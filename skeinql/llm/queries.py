@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op8_decontamination
 from .lm import op9_lm
+from .materialise import op5_materialise
 from .packing import op7_packing
 from .pii import op6_pii
 from .quality import OP2_SQL, op2_quality
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_frequency": op2_quality,
         "op3_simhash_vantage": op3_simhash,
         "op4_sentence_spans": op4_sentences,
+        "op5_training_order": op5_materialise,
         "op6_pii_field": op6_pii,
         "op7_cost_balanced_packing": op7_packing,
         "op8_decontamination": op8_decontamination,

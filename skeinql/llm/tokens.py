@@ -47,6 +47,7 @@ class Tokenizer:
         special = {t["content"] for t in vocab.get("added_tokens", [])}
         byte = _printable_bytes()
         ranks = {bytes(byte[c] for c in t): i for t, i in vocab["model"]["vocab"].items() if t not in special}
+        self.size = max(ranks.values()) + 1
         self.exact, self.plain = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PATTERN, PLAIN))
 
     def ids(self, text: str | None) -> list[int]:
