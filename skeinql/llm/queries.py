@@ -12,12 +12,14 @@ from .materialise import op5_materialise
 from .packing import op7_packing
 from .pii import op6_pii
 from .quality import OP2_SQL, op2_quality
+from .repeats import op1_repeats
 from .sentences import op4_sentences
 from .simhash import op3_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_run_length_index": op1_repeats,
         "op2_line_frequency": op2_quality,
         "op3_simhash_vantage": op3_simhash,
         "op4_sentence_spans": op4_sentences,
