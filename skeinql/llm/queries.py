@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op8_decontamination
+from .licenses import op10_licenses
 from .lm import op9_lm
 from .materialise import op5_materialise
 from .packing import op7_packing
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_cost_balanced_packing": op7_packing,
         "op8_decontamination": op8_decontamination,
         "op9_lm_partial_matching": op9_lm,
+        "op10_license_compression": op10_licenses,
     }
 
 
