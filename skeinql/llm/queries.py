@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontamination import op8_decontamination
+from .decontamination import OP8_SQL, op8_decontamination
 from .licenses import op10_licenses
 from .lm import op9_lm
 from .materialise import op5_materialise
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_frequency": OP2_SQL}
+    return {"op2_line_frequency": OP2_SQL, "op8_decontamination": OP8_SQL}

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import duckdb
 import pytest
 
 from skeinql.llm import decontamination as D
@@ -49,6 +50,16 @@ def test_query_against_brute_force(spark, folder):
         assert tuple(r)[1:] == brute(TEXTS[r.doc_id], ITEMS), TEXTS[r.doc_id]
 
 
+def test_sql_gives_the_same(spark, folder):
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    out = c.execute(D.OP8_SQL)
+    names = [x[0] for x in out.description]
+    got = D.op8_decontamination(spark, folder)
+    assert sorted(out.fetchall()) == sorted(map(tuple, got.select(*names).collect()))
+
+
 def test_blocks_give_the_same(spark, folder):
     docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
     docs = docs.drop("_items")
