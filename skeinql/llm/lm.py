@@ -30,8 +30,9 @@ ORDER = 5
 NODES = 1 << 21
 DICTIONARY = 1 << 16
 END = b"\n"
-#: Tokens and bytes that a training task counts before it passes its counts on.
-HELD_TOKENS, HELD_BYTES = 1 << 19, 1 << 24
+#: Different tokens and grams that a training task holds before it passes its counts on, and bytes
+#: that are counted or scored at once.
+HELD_TOKENS, HELD_GRAMS, HELD_BYTES = 1 << 18, 1 << 20, 1 << 21
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -182,25 +183,35 @@ def train_counts(docs: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
         words: Counter[bytes] = Counter()
         data: list[bytes] = []
         size = 0
+        held: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for gram, (k, n) in enumerate(((token_hash(words), np.fromiter(words.values(), np.int64, len(words))), np.unique(grams(b"".join(data), order), return_counts=True))):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), bool(gram))), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "k", "n"])
-            words.clear()
+        def rows(gram: bool, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), gram)), pa.array(k.view(np.int64)), pa.array(n)], ["gram", "k", "n"])
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            k, n = np.unique(grams(b"".join(data), order), return_counts=True)
             data.clear()
+            both, at = np.unique(np.concatenate([held[0], k]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([held[1], n]), len(both)).astype(np.int64)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if held_out(doc_id):
                     continue
-                own = tokens(text)
+                own = tokens(text.as_py())
                 words.update(own)
                 data.append(b" ".join(own[:-1]) + END)
                 size += len(data[-1])
-                if size >= HELD_BYTES or len(words) >= HELD_TOKENS:
-                    yield from flush()
-                    size = 0
-        yield from flush()
+                if len(words) >= HELD_TOKENS:
+                    yield rows(False, token_hash(words), np.fromiter(words.values(), np.int64, len(words)))
+                    words.clear()
+                if size >= HELD_BYTES:
+                    held, size = merged(), 0
+                    if len(held[0]) >= HELD_GRAMS:
+                        yield rows(True, *held)
+                        held = held[0][:0], held[1][:0]
+        yield rows(False, token_hash(words), np.fromiter(words.values(), np.int64, len(words)))
+        yield rows(True, *merged())
 
     counted = stored(docs.mapInArrow(run, "gram boolean, k long, n long").groupBy("gram", "k").agg(F.sum("n").alias("n")), "counts")
     return counted.filter("not gram").select(F.col("k").alias("h"), "n"), counted.filter("gram").select(F.col("k").alias("g"), "n")
