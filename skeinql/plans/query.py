@@ -196,6 +196,14 @@ class Query:
         """One row for each key; which one, of several, is not determined."""
         return Query(self.df.dropDuplicates([key]), "map")
 
+    def view(self) -> Query:
+        """Queries are lazy already."""
+        return self
+
+    def force(self) -> Query:
+        """The rows so far, computed once and kept while the session lasts."""
+        return replace(self, frame=self.df.persist(), name=None, steps=(), conjuncts=())
+
     # Sets and bags
 
     def union(self, other: Query) -> Query:
@@ -300,3 +308,17 @@ def total(c: Column | str, kind: str = "long") -> Column:
 def product(c: Column | str) -> Column:
     """Product that is 1 over nothing."""
     return F.coalesce(F.product(col(c)), F.lit(1.0))
+
+
+def every(c: Column | str) -> Column:
+    """True over nothing."""
+    return F.coalesce(F.bool_and(col(c)), F.lit(True))
+
+
+def some(c: Column | str) -> Column:
+    return F.coalesce(F.bool_or(col(c)), F.lit(False))
+
+
+def odd(c: Column | str) -> Column:
+    """Exclusive or: whether c holds an odd number of times."""
+    return F.count_if(col(c)) % 2 == 1

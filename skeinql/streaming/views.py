@@ -70,6 +70,12 @@ def join_delta(left: DataFrame, right: DataFrame, d_left: DataFrame, d_right: Da
     return net(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
+def derive(f: Callable[[DataFrame], DataFrame], changes: DataFrame) -> DataFrame:
+    """The change of f's result. f must be linear: made of maps, filters, unnests, unions and joins with
+    what doesn't change, so that f of a base and a change is the sum of f of each."""
+    return net(f(changes))
+
+
 def grouped(changes: DataFrame, keys: Sequence[str], **sums: str) -> DataFrame:
     """Counts and sums by key; n is the count. Both undo removals; a key whose count is 0 is gone."""
     aggregates = [F.sum(F.expr(e) * F.col(MULT)).alias(name) for name, e in sums.items()]

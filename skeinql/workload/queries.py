@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinql.functions import calls
 from skeinql.functions import scalars as S
 from skeinql.operators.recursion import kept, transitive_closure
 from skeinql.operators.types import Hierarchy, TypeIndex, type_case, type_filter
 from skeinql.plans.index import Indexes
-from skeinql.plans.query import Equals, Query, product, total
+from skeinql.plans.query import Equals, Query, every, odd, product, some, total
 from skeinql.sources.collections import exps, int_range, literal, table
 from skeinql.streaming import views
 
@@ -451,11 +452,42 @@ def guarded_access(spark, sf):
     return q.filter(S.guarded(F.size("s") > 2, S.at("s", 2) % 2 == 0)).map("k").df
 
 
+@query("opaque_call", "SELECT p_partkey, p_size * 2 + length(p_name) AS score, coalesce(p_size, 0)::BIGINT AS size FROM part")
+def opaque_call(spark, sf):
+    score = calls.Call("score", "long", lambda size, name: size * 2 + name.str.len())
+    return table(spark, sf, "part").map("p_partkey", score=score("p_size", "p_name"), size=calls.global_call("coalesce", F.col("p_size").cast("long"), F.lit(0).cast("long"))).df
+
+
+@query("flat_map_of_a_function", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
+def flat_map_function(spark, sf):
+    words = calls.by_row("words", "array<string>", lambda s: s.split(" "))
+    return table(spark, sf, "part").flat_map("word", words("p_name"), "p_partkey").df
+
+
+@query("partial_function", "SELECT DISTINCT CASE WHEN p_size < 5 THEN 'tiny' WHEN p_type = 'PROMO' THEN 'promo' END AS kind FROM part WHERE p_size < 5 OR p_type = 'PROMO'")
+def partial_function(spark, sf):
+    return table(spark, sf, "part", kind="set").collect(calls.partial((F.col("p_size") < 5, F.lit("tiny")), (F.col("p_type") == "PROMO", F.lit("promo"))), "kind").df
+
+
+@query("fold_booleans", "SELECT o_orderpriority AS k, bool_and(o_totalprice > 1000) AS every, bool_or(o_totalprice > 300000) AS some, count(*) FILTER (o_orderstatus = 'F') % 2 = 1 AS odd FROM orders GROUP BY 1")
+def fold_booleans(spark, sf):
+    price = F.col("o_totalprice")
+    return table(spark, sf, "orders").group(every(price > 1000).alias("every"), some(price > 300000).alias("some"), odd(F.col("o_orderstatus") == "F").alias("odd"), k="o_orderpriority").df
+
+
 @query("null_equality", "SELECT k IS NOT DISTINCT FROM NULL AS null_is_null, count(*) AS n FROM (SELECT CASE WHEN user_id % 3 > 0 THEN user_id % 3 END AS k FROM events) GROUP BY 1")
 def null_equality(spark, sf):
     return table(spark, sf, "events").let("k", "case when user_id % 3 > 0 then user_id % 3 end").group(F.count("*").alias("n"), null_is_null=S.same("k", F.lit(None))).df
 
 
+@query("derived_change", "SELECT o_custkey, count(*)::BIGINT AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 10 = 0 AND c_acctbal > 0 GROUP BY 1")
+def derived_change(spark, sf):
+    """What a query of a base and its change adds to that of the base alone."""
+    o, c = table(spark, sf, "orders").df, table(spark, sf, "customer").df.filter("c_acctbal > 0")
+    f = lambda changes: views.joined(changes, views.include(c), F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", views.MULT)
+    return views.derive(f, views.include(o.filter("o_orderkey % 10 = 0"))).withColumnRenamed(views.MULT, "n")
+
+
 # Maintained views: the batch result of the net input is the oracle
 
 

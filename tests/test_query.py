@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skeinql.functions import calls
 from skeinql.functions import scalars as S
 from skeinql.operators.recursion import descendants, fixpoint, transitive_closure
 from skeinql.operators.types import Hierarchy, TypeIndex, type_case, type_filter
@@ -164,3 +165,17 @@ def test_values_and_tables(spark, tmp_path):
     a, b = literal(spark, [(1,), (1,)], "x int"), literal(spark, [(1,)], "x int")
     assert b.subset_of(a) and not a.subset_of(b) and rows(a.counted()) == [(1, 2)]
     assert rows(a.bag_difference(b)) == [(1,)] and rows(a.bag_intersect(b)) == [(1,)]
+
+
+def test_calls(spark):
+    q = literal(spark, [(1, "a"), (None, "b")], "x int, s string")
+    twice = calls.by_row("twice", "long", lambda x: int(x) * 2)
+    assert rows(q.map(y=twice("x"))) == [(2,), (None,)]
+    assert twice == calls.by_row("twice", "long", lambda x: 0) and twice != calls.by_row("thrice", "long", lambda x: 0)
+    assert rows(q.map(y=calls.Call("seven", "long", lambda: 7)())) == [(7,), (7,)]
+    assert rows(q.map(y=calls.global_call("upper", "s"), p=calls.partial((F.col("x") == 1, "one")))) == [("A", "one"), ("B", None)]
+    m = F.create_map(F.lit("k"), F.lit(1))
+    assert rows(q.map(y=calls.defined_at(m, F.lit("k")), n=calls.defined_at(m, F.col("s")))) == [(True, False), (True, False)]
+    forced = q.force()
+    assert rows(forced.view()) == rows(q) and forced.kind == q.kind
+    forced.frame.unpersist()
