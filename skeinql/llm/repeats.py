@@ -6,8 +6,10 @@ windows long. Three steps find every window that starts earlier too, and no othe
 
 1. Blocks meet by anchor. Of equal blocks all but the first are repeats whole; an anchor that only one
    block has repeats nothing.
-2. Where an anchor has different blocks, they may still share windows. Their text goes to buckets by
-   anchor, and each bucket's run-length index (rindex.py) is streamed by its own blocks.
+2. Where an anchor has different blocks, they may still share windows. A window has K bytes more to the
+   left or the right of its anchor, so blocks that share one agree there too; 12 bits of a hash of
+   each side tell most others apart. The text of those left goes to buckets by anchor, and each
+   bucket's run-length index (rindex.py) is streamed by its own blocks.
 3. An anchor with more than CROWD different blocks, as a line that a third of all documents share, would
    fill one bucket. Its blocks part into windows, which meet by their hashes alone.
 
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 from ._shared import appended, stored, table
 from .rindex import RunLengthIndex
 
-LENGTH, K = 100, 16
-CROWD = 2048
+LENGTH, K = 100, 32
+CROWD = 8192
+#: A block's number of windows has 7 bits; what follows are two marks of MARK_BITS bits.
+COUNT_BITS, MARK_BITS = 7, 12
 #: Bytes of text that are cut into blocks at once, and that a bucket is planned for.
 CHUNK, BUCKET = 1 << 21, 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
@@ -56,8 +60,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(data: bytes, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """anchor hash, content hash, first window and number of windows of each block of data, where
-    stops are the ends of the documents in it."""
+    """anchor hash, content hash, first window, and number of windows with the marks of both sides, of
+    each block of data, where stops are the ends of the documents in it."""
     import xxhash
 
     if len(data) < LENGTH:
@@ -72,7 +76,23 @@ def blocks(data: bytes, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     first, count = first[inside[first]], count[inside[first]]
     digest = xxhash.xxh3_64_intdigest
     content = np.fromiter((digest(data[a:b]) for a, b in zip(first.tolist(), (first + count + LENGTH - 1).tolist(), strict=True)), np.uint64, len(first))
-    return h[at[first]], content, first, count
+    anchor = at[first]
+    side = lambda where, there: np.where(there, h[np.where(there, where, 0)] >> np.uint64(64 - MARK_BITS), 0).astype(np.int64)
+    left = side(anchor - K, anchor - K >= first)
+    right = side(anchor + K, anchor + 2 * K <= first + count - 1 + LENGTH)
+    return h[anchor], content, first, count | left << COUNT_BITS | right << COUNT_BITS + MARK_BITS
+
+
+def alike(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which rows (their last column as of blocks()) agree with another of their group on a side.
+    Mark 0 stands for no text there, and agrees with none."""
+    out = np.zeros(len(rows), bool)
+    for shift in (COUNT_BITS, COUNT_BITS + MARK_BITS):
+        mark = rows[:, 5] >> shift & (1 << MARK_BITS) - 1
+        key = group << MARK_BITS | mark
+        _, at, n = np.unique(key, return_inverse=True, return_counts=True)
+        out |= (mark > 0) & (n[at] > 1)
+    return out
 
 
 def chunks(docs: Iterable[tuple[int, int, bytes]]) -> Iterator[tuple[bytes, list[tuple[int, int, int]], np.ndarray]]:
@@ -140,12 +160,14 @@ def firsts(crowd: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Recor
         def over() -> Iterator[pa.RecordBatch]:
             nonlocal held, n_held, apart
             rows = np.concatenate(held) if held else np.zeros((0, 6), np.int64)
-            if apart or n_held > 1:
+            if not apart:
+                rows = rows[alike(rows, np.zeros(len(rows), np.int64))]
+            if len(rows):
                 yield said(np.full(len(rows), APART if apart else TEXT), rows)
             held, n_held, apart = [], 0, False
 
         def said(state: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
-            return batch(FOUND, state.astype(np.int32), r[:, 2], r[:, 3].astype(np.int32), r[:, 4], r[:, 5].astype(np.int32), r[:, 0])
+            return batch(FOUND, state.astype(np.int32), r[:, 2], r[:, 3].astype(np.int32), r[:, 4], (r[:, 5] & (1 << COUNT_BITS) - 1).astype(np.int32), r[:, 0])
 
         for b in batches:
             if not b.num_rows:
@@ -182,7 +204,7 @@ def firsts(crowd: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Recor
                 if len(mid):
                     starts = np.flatnonzero(np.concatenate([[True], mid[1:, 0] != mid[:-1, 0]]))
                     n = np.repeat(m := np.diff(np.concatenate([starts, [len(mid)]])), m)
-                    keep = n > 1
+                    keep = (n > crowd) | alike(mid, np.repeat(np.arange(len(m)), m))
                     if keep.any():
                         yield said(np.where(n[keep] > crowd, APART, TEXT), mid[keep])
                 tail = heads[final:]
@@ -231,7 +253,7 @@ def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, key, raw, a in asked_rows([b]):
             for i in range(a["n"]):
                 h = digest(raw[i : i + LENGTH])
-                rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), doc, key, a["at"] + i, 1))
+                rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), doc, key, a["at"] + i, 1))  # no marks: only repeats count
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         yield batch("anchor content doc key at n", *(np.array(c, np.int32 if i in (3, 5) else np.int64) for i, c in enumerate(cols)))
 

@@ -39,23 +39,30 @@ class RunLengthIndex:
     @staticmethod
     def _sorted(rank: np.ndarray, longest: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The suffix array by prefix doubling, and two ranks that agree where `length` bytes do: of
-        the prefix of the largest power of two within length, and of the one that ends at length."""
+        the prefix of the largest power of two within length, and of the one that ends at length. A
+        rank is the first row of those that agree; rows that nothing agrees with aren't sorted again."""
         n, span = len(rank), 1
         prefix = tail = rank
-        sa = np.argsort(rank, kind="stable")
+        sa = np.argsort(rank)
+        s = rank[sa]
         while True:
+            first = np.maximum.accumulate(np.where(np.concatenate([[True], s[1:] != s[:-1]]), np.arange(n), 0)) if n else s
+            rank = np.empty(n, np.int64)
+            rank[sa] = first
             if span <= length < 2 * span:
                 prefix, tail = rank, rank[np.minimum(np.arange(n) + length - span, n - 1)]
             if span > longest and 2 * span > length:
                 return sa, prefix, tail
-            after = np.zeros(n, np.int64)
-            after[: max(0, n - span)] = rank[span:] + 1
-            key = rank * (n + 258 + int(rank.max(initial=0))) + after
-            sa = np.argsort(key, kind="stable")
-            s = key[sa]
-            new = np.empty(n, np.int64)
-            new[sa] = np.cumsum(np.concatenate([[0], s[1:] != s[:-1]])) if n else 0
-            rank, span = new, 2 * span
+            new = np.concatenate([[True], first[1:] != first[:-1], [True]]) if n else np.zeros(1, bool)
+            tied = np.flatnonzero(~(new[:-1] & new[1:])) if n else np.zeros(0, np.int64)
+            of = sa[tied]
+            after = np.where(of + span < n, rank[np.minimum(of + span, n - 1)] + 1, 0)
+            key = rank[of] * (n + 2) + after
+            order = np.argsort(key)
+            sa[tied] = of[order]
+            s = first * (n + 2)
+            s[tied] = key[order]
+            span *= 2
 
     def lf(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the suffixes one byte longer, and the runs that the given rows lie in."""
