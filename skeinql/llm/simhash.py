@@ -113,7 +113,12 @@ def forest(own: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarr
 
 def links(fps: DataFrame, n: int, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
     """fps: different fingerprints (_fp), n of them. Rows (u, v) of longs that connect exactly what
-    links within the radius connect."""
+    links within the radius connect.
+
+    No vantage point parts a crowd of near copies, whose distances to all of them agree. A leaf with
+    more than twice `leaf` fingerprints of its own is dealt into parts of that size, and each pair of
+    parts is compared in a task of its own; visitors visit each part.
+    """
     points = vantage_points(levels(n, leaf))
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +136,13 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, leaf: int = LEAF) -> Dat
         u, v = forest(fp[home], fp[~home], radius)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    return fps.select("_fp").mapInArrow(route, "leaf long, fp long, home boolean").groupBy("leaf").applyInArrow(compare, "u long, v long")
+    routed = fps.select("_fp").mapInArrow(route, "leaf long, fp long, home boolean")
+    crowded = stored(routed.filter("home").groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * leaf).select("leaf", F.ceil(F.col("n") / (2 * leaf)).cast("int").alias("parts")), "crowded")
+    dealt = routed.join(crowded, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = (F.when(F.col("home"), f("part", "other")).otherwise(F.col("other")) for f in (F.least, F.greatest))
+    dealt = dealt.select("leaf", low.alias("low"), high.alias("high"), "fp", (F.col("home") & (F.col("part") == low)).alias("home"))
+    return dealt.groupBy("leaf", "low", "high").applyInArrow(compare, "u long, v long")
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
