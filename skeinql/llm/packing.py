@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from ._shared import id_text, table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END_ID = 0
+CAPACITY, WINDOW_TOKENS, LINEAR, QUADRATIC = 1024, 1 << 20, 1.0, 1 / 256
 #: Sequences looked at for room before a piece is cut.
 LOOKS = 8
 
@@ -56,20 +58,12 @@ def pack(lengths: list[int], capacity: int, linear: float, quadratic: float) ->
     return out
 
 
-def pack_documents(docs: DataFrame, capacity: int = 1024, window_tokens: int = 1 << 20, linear: float = 1.0, quadratic: float = 1 / 256, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset
-    (and ids binary, little-endian unsigned 32-bit, if with_ids).
-
-    A document is its ids, then id 0; a null or empty text is id 0 alone; equal rows are packed each
-    for itself, a null doc_id stays null. Documents over the capacity are cut at its multiples. A
-    sequence_id is the partition in its upper bits and a count in its lower 32; with the same
-    partitions of input a lost task gives the same rows again.
-    """
-    path = tokenizer_path or tokens.default_path()
-    schema = SCHEMA + (", ids binary" if with_ids else "")
+def packer(capacity: int, window_tokens: int, linear: float, quadratic: float, tokenizer_path: str, with_ids: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Turns batches of (doc_id, text) into batches of pieces, a window at a time."""
+    names = [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.tokenizer(path).encode
+        encode = tokens.tokenizer(tokenizer_path).ids
         first = TaskContext.get().partitionId() << 32
         pieces: list[tuple[int | None, int, bytes, int]] = []
         held, made = 0, 0
@@ -88,20 +82,34 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, window_tokens: int = 1
                 made += 1
             pieces, held = [], 0
             arrays = [pa.array(c, pa.int64()) for c in cols[:7]] + ([pa.array(cols[7], pa.binary())] if with_ids else [])
-            return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
+            return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            ids, at = encode(batch.column(1).to_pylist(), END_ID)
-            for doc_id, start, stop in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                total = stop - start
-                pieces += [(doc_id, k, ids[start + k : min(stop, start + k + capacity)].tobytes(), total) for k in range(0, total, capacity)]
-                held += total
-                if held >= window_tokens:
-                    yield flush()
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = np.array([*encode(text.as_py()), END_ID], "<u4").tobytes()
+                total = len(raw) >> 2
+                for k in range(0, total, capacity):
+                    pieces.append((doc_id, k, raw[4 * k : 4 * (k + capacity)], total))
+                    held += min(capacity, total - k)
+                    if held >= window_tokens:
+                        yield flush()
         if pieces:
             yield flush()
 
-    return id_text(docs).mapInArrow(run, schema)
+    return run
+
+
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, window_tokens: int = WINDOW_TOKENS, linear: float = LINEAR, quadratic: float = QUADRATIC, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset
+    (and ids binary, little-endian unsigned 32-bit, if with_ids).
+
+    A document is its ids, then id 0; a null or empty text is id 0 alone; equal rows are packed each
+    for itself, a null doc_id stays null; an empty table gives none. Documents over the capacity are
+    cut at its multiples. A sequence_id is the partition in its upper bits and a count in its lower
+    32; with the same partitions of input a lost task gives the same rows again.
+    """
+    run = packer(capacity, window_tokens, linear, quadratic, tokenizer_path or tokens.default_path(), with_ids)
+    return id_text(docs).mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
