@@ -1,29 +1,34 @@
 """Training-order materialisation of token ids in binary shards.
 
-Documents are packed into sequences of `length` ids. Sequence i of n gets the global slot that a keyed
-Feistel permutation of [0, n) gives it: four rounds over the least even number of bits that holds n,
-walked along its cycle until it is below n. Range partitions of slots are written as shards of `stride`
-slots, each slot length ids of 2 or 4 bytes (little-endian), padded with `pad`, so that slot s is at
-byte (s mod stride) * length * width of shard s div stride, and a reader can start at any slot. A
-shard's bytes depend on nothing but the rows, so a task that runs again writes the same file.
+Documents are packed into sequences of `length` ids, and a keyed Feistel permutation gives each sequence
+its global slot, in two levels. On the whole 64-bit range of sequence ids it picks the range partition,
+the shard, so that rows are moved once, straight to their shard, before anyone knows how many there are.
+Within a shard of n sequences the permutation of the least even number of bits that holds n, walked
+along its cycle until it is below n, gives the place. A shard's first slot is the number of sequences
+in the shards before it. Each slot is length ids of 2 or 4 bytes (little-endian), padded with `pad`, so
+that a reader can start at any slot and read on. Names and bytes of shards depend on nothing but the
+rows, so a task that runs again writes the same file.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
 from ._shared import id_text, new_path, stored, table
-from .packing import pack_documents
+from .packing import LINEAR, QUADRATIC, WINDOW_TOKENS, packer
 
 LENGTH, STRIDE, PAD, KEY = 1024, 4096, 50256, 20240229
 ROUNDS = 4
+#: Bytes of text to a token, only to plan how many shards of about STRIDE sequences there are.
+BYTES_A_TOKEN = 2.5
+GROUP = 1024
 
 
 def round_keys(key: int) -> np.ndarray:
@@ -54,114 +59,133 @@ def slots(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, length: int = LENGTH, tokenizer_path: str | None = None) -> DataFrame:
-    """Pieces of documents with their ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
-    return pack_documents(docs, length, tokenizer_path=tokenizer_path, with_ids=True)
+def shard_of(sequence_id: np.ndarray, shards: int, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each sequence, and its order there before the second level."""
+    mixed = feistel(sequence_id.astype(np.uint64), 64, key)
+    return ((mixed >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64), mixed.view(np.int64)
 
 
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def materialise(docs: DataFrame, path: str, length: int = LENGTH, stride: int = STRIDE, key: int = KEY, pad: int = PAD, tokenizer_path: str | None = None) -> DataFrame:
-    """Write the shards under path (any file system that pyarrow opens by URI) and return a row for
-    each piece of a document: doc_id, start, length, ids_crc32, slot, shard, byte_offset.
+def by_sequence(kind: str, shards: int, key: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each sequence, of the packer's batches: windows, so a sequence's pieces are in one."""
+    names = ("sequence_id", "doc_id", "start", "length", "ids")
 
-    A null or empty text is id 0 alone; equal rows are written each for itself; an empty table writes
-    no shard. Ids take 2 bytes where the vocabulary allows.
-    """
-    spark = docs.sparkSession
-    wide = tokens.tokenizer(tokenizer_path or tokens.default_path()).size > 1 << 16 or pad >= 1 << 16
-    kind, width = ("<u4", 4) if wide else ("<u2", 2)
-    packed = sequences(docs, length, tokenizer_path)
+    def done(t: pa.RecordBatch) -> pa.RecordBatch:
+        seq = t["sequence_id"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
+        parts = [[c[x:y] for x, y in zip(first, [*first[1:], len(seq)], strict=True)] for c in (t[n].to_pylist() for n in names[1:])]
+        ids = [np.frombuffer(b"".join(p), "<u4").astype(kind).tobytes() for p in parts[3]]
+        shard, order = shard_of(seq[first], shards, key)
+        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(order), *(pa.array(p, pa.list_(pa.int64())) for p in parts[:3]), pa.array(ids, pa.binary())], ["shard", "order", *names[1:]])
 
-    def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each sequence; a sequence's pieces come in a row, in one batch."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seq = b.column("sequence_id").to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]])) if len(seq) else np.zeros(0, int)
-            cols = [b.column(c).to_pylist() for c in ("doc_id", "start", "length", "ids")]
-            parts = [[c[x:y] for x, y in zip(first, [*first[1:], len(seq)], strict=True)] for c in cols]
-            ids = [np.frombuffer(b"".join(p), "<u4").astype(kind).tobytes() for p in parts[3]]
-            out = [pa.array(seq[first]), *(pa.array(p, pa.list_(pa.int64())) for p in parts[:3]), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, ["sequence_id", "doc_id", "start", "length", "ids"])
-
-    rows = stored(packed.mapInArrow(joined, "sequence_id long, doc_id array<long>, start array<long>, length array<long>, ids binary"), "sequences")
-    # The upper bits of a sequence_id are its input partition, the lower count from 0 there.
-    counts = {r.p: r.n for r in rows.groupBy(F.shiftright("sequence_id", 32).alias("p")).agg(F.count("*").alias("n")).collect()}
-    parts = np.array(sorted(counts), np.int64)
-    sizes = np.array([counts[p] for p in parts.tolist()], np.int64)
-    before, n = np.cumsum(sizes) - sizes, int(sizes.sum())
-    if not n:
-        return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, slot long, shard long, byte_offset long")
-    shards = -(-n // stride)
-
-    def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seq = b.column(0).to_numpy()
-            slot = slots(before[np.searchsorted(parts, seq >> 32)] + (seq & 0xFFFFFFFF), n, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot // stride), pa.array(slot), *b.columns[1:]], ["shard", "slot", "doc_id", "start", "length", "ids"])
+            yield done(b)
 
-    def write(t: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Partitions come sorted by slot; a shard lies in one."""
-        from pyarrow import fs
+    return run
 
-        system, folder = fs.FileSystem.from_uri(path)
-        at, out, done = -1, None, 0
 
-        def close() -> None:
-            if out:
-                out.close()
-                system.move(f"{folder}/.{shard_name(at)}.{task}", f"{folder}/{shard_name(at)}")
+def writer(path: str, length: int, kind: str, pad: int, key: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows sorted by shard and order: writes each shard and returns its rows with their places.
+    One shard at a time is held."""
+    width = np.dtype(kind).itemsize
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
         from pyspark import TaskContext
 
+        system, folder = fs.FileSystem.from_uri(path)
         task = TaskContext.get().taskAttemptId()
-        system.create_dir(folder)
-        for b in t:
-            crcs = []
-            for shard, slot, lengths, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                if shard != at:
-                    close()
-                    at, done = shard, 0
-                    out = system.open_output_stream(f"{folder}/.{shard_name(at)}.{task}")
-                assert slot == at * stride + done, "slots of a shard follow each other"
-                done += 1
-                out.write(ids + np.full(length - len(ids) // width, pad, kind).tobytes())
-                own, crc, k = np.frombuffer(ids, kind).astype("<u4").tobytes(), [], 0
-                for m in lengths:
-                    crc.append(zlib.crc32(own[4 * k : 4 * (k + m)]))
-                    k += m
-                crcs.append(crc)
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(crcs, pa.list_(pa.int64()))], ["shard", "slot", "doc_id", "start", "length", "crc"])
-        close()
+        made = False
+
+        def write(t: pa.Table) -> pa.RecordBatch:
+            nonlocal made
+            if not made:
+                system.create_dir(folder)
+                made = True
+            shard = t["shard"][0].as_py()
+            place = slots(np.arange(t.num_rows), t.num_rows, key ^ shard)
+            t = t.take(pa.array(np.argsort(place)))
+            name, crcs = f"{folder}/.{shard_name(shard)}.{task}", []
+            with system.open_output_stream(name) as out:
+                for lengths, ids in zip(t["length"].to_pylist(), t["ids"].to_pylist(), strict=True):
+                    out.write(ids + np.full(length - len(ids) // width, pad, kind).tobytes())
+                    own, at, crc = np.frombuffer(ids, kind).astype("<u4").tobytes(), 0, []
+                    for n in lengths:
+                        crc.append(zlib.crc32(own[4 * at : 4 * (at + n)]))
+                        at += n
+                    crcs.append(crc)
+            system.move(name, f"{folder}/{shard_name(shard)}")
+            t = t.combine_chunks()
+            return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in (t["shard"], pa.chunked_array([pa.array(np.arange(t.num_rows))]), t["doc_id"], t["start"], t["length"])), pa.array(crcs, pa.list_(pa.int64()))], ["shard", "place", "doc_id", "start", "length", "crc"])
+
+        held: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            while t.num_rows:
+                over = np.flatnonzero(t["shard"].to_numpy() != t["shard"][0].as_py())
+                if not len(over):
+                    break
+                yield write(t[: int(over[0])])
+                t = t[int(over[0]) :]
+            held = t
+        if held is not None and held.num_rows:
+            yield write(held)
+
+    return run
+
+
+def materialise(docs: DataFrame, path: str, length: int = LENGTH, stride: int = STRIDE, key: int = KEY, pad: int = PAD, tokenizer_path: str | None = None) -> DataFrame:
+    """Write the shards under path (any file system that pyarrow opens by URI), and path/manifest
+    (shard, n, first: Parquet); return a row for each piece of a document: doc_id, start, length,
+    ids_crc32, slot, shard, byte_offset. Shards have about `stride` sequences.
 
+    A null or empty text is id 0 alone; equal rows are written each for itself; an empty table writes
+    no shard. Ids take 2 bytes where the vocabulary allows.
+    """
+    wide = tokens.tokenizer(tokenizer_path or tokens.default_path()).size > 1 << 16 or pad >= 1 << 16
+    kind, width = ("<u4", 4) if wide else ("<u2", 2)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)) + F.count("*")).first()[0]
+    shards = max(1, round(size / BYTES_A_TOKEN / length / stride))
     arrays = "doc_id array<long>, start array<long>, length array<long>"
-    ordered = rows.mapInArrow(placed, f"shard long, slot long, {arrays}, ids binary").repartitionByRange(shards, "shard").sortWithinPartitions("slot")
-    written = stored(ordered.mapInArrow(write, f"shard long, slot long, {arrays}, crc array<long>"), "written")
+    pack, gather = packer(length, WINDOW_TOKENS, LINEAR, QUADRATIC, tokenizer_path or tokens.default_path(), True), by_sequence(kind, shards, key)
+    rows = id_text(docs).mapInArrow(lambda batches: gather(pack(batches)), f"shard long, order long, {arrays}, ids binary")
+    ordered = rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "order")
+    written = stored(ordered.mapInArrow(writer(path, length, kind, pad, key), f"shard long, place long, {arrays}, crc array<long>"), "written")
+    counts = written.groupBy("shard").agg(F.count("*").alias("n"))
+    group = F.floor(F.col("shard") / GROUP)
+    # Sums over groups of shards are few; within a group they run on.
+    total, before = 0, {}
+    for r in sorted(counts.groupBy(group.alias("g")).agg(F.sum("n").alias("n")).collect()):
+        before[r.g] = total
+        total += r.n
+    start = F.element_at(F.create_map(*(F.lit(x) for g in before.items() for x in g)), group) if before else F.lit(0)
+    running = F.sum("n").over(Window.partitionBy(group).orderBy("shard")) - F.col("n")
+    manifest = stored(counts.select("shard", "n", (start + running).cast("long").alias("first")), "firsts")
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
     piece = F.explode(F.arrays_zip("doc_id", "start", "length", "crc", F.transform("length", lambda _, i: F.aggregate(F.slice("length", 1, i), F.lit(0).cast("long"), lambda a, x: a + x)).alias("before"))).alias("x")
-    at = (F.col("slot") % stride * length + F.col("x.before")) * width
-    return written.select("slot", "shard", piece).select("x.doc_id", "x.start", "x.length", F.col("x.crc").alias("ids_crc32"), "slot", "shard", at.alias("byte_offset"))
+    at = ((F.col("place") * length + F.col("x.before")) * width).cast("long")
+    return written.join(manifest, "shard").select("shard", "first", "place", piece).select("x.doc_id", "x.start", "x.length", F.col("x.crc").alias("ids_crc32"), (F.col("first") + F.col("place")).alias("slot"), "shard", at.alias("byte_offset"))
 
 
-def read_slots(path: str, first: int, n: int, length: int = LENGTH, stride: int = STRIDE, width: int = 2) -> np.ndarray:
-    """n sequences from slot `first` on, or fewer where the last shard ends; reads only their bytes."""
+def read_slots(path: str, first: int, n: int, length: int = LENGTH, width: int = 2) -> np.ndarray:
+    """n sequences from slot `first` on, or fewer at the end; reads only their bytes."""
+    import pyarrow.parquet as pq
     from pyarrow import fs
 
     system, folder = fs.FileSystem.from_uri(path)
-    out, slot = [], first
-    while slot < first + n:
-        take = min(first + n - slot, stride - slot % stride)
-        file = f"{folder}/{shard_name(slot // stride)}"
-        if system.get_file_info(file).type == fs.FileType.NotFound:
-            break
-        with system.open_input_file(file) as f:
-            f.seek(slot % stride * length * width)
-            raw = f.read(take * length * width)
-        out.append(np.frombuffer(raw, f"<u{width}").reshape(-1, length))
-        if len(raw) < take * length * width:
-            break
-        slot += take
+    shards = pq.read_table(f"{folder}/manifest", filesystem=system).sort_by("first").to_pylist()
+    out = []
+    for s in shards:
+        a, b = max(first, s["first"]), min(first + n, s["first"] + s["n"])
+        if a < b:
+            with system.open_input_file(f"{folder}/{shard_name(s['shard'])}") as f:
+                f.seek((a - s["first"]) * length * width)
+                out.append(np.frombuffer(f.read((b - a) * length * width), f"<u{width}").reshape(-1, length))
     return np.concatenate(out) if out else np.zeros((0, length), f"<u{width}")
 
 
