@@ -160,11 +160,16 @@ def groups(docs: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame
     return prints.join(own, "_fp")
 
 
+def one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that stand for their groups: those whose doc_id is the component_id in found."""
+    stay = stored(found.filter("doc_id = component_id").select("doc_id").distinct(), "stay")
+    return docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
 def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each group (its component_id) stays, with the columns of docs. Of repeated
     rows one stays; rows without a doc_id, which no other row can stand for, all stay."""
-    stay = stored(groups(docs, radius).filter("doc_id = component_id").select("doc_id").distinct(), "stay")
-    return docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return one_each(docs, groups(docs, radius))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
