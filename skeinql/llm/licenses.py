@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Blocks of a text that have a cue word are candidates. A block is compressed alone and with each
-template as a raw zstandard dictionary; templates are ranked by how much smaller that makes it, and
-the best is confirmed by the exact differences in wording: enough of the template's words must stand
-in the block in order, and no word that tells licenses apart (numbers and the like) may differ.
+Blocks of a text that have a cue word are candidates. For each template, a block's runs of sentences
+about as long as it, and the block whole, are compressed alone and with the template as a raw
+zstandard dictionary. Where that saves enough of the template's own compressed size, the exact
+differences in wording decide: enough of the template's words must stand there in order, and no word
+that tells licenses apart (numbers and the like) may differ. A block can hold several licenses.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ SENTENCE = re.compile(r"\n|(?<=[.;:!?])\s+(?=[A-Z\"(])")
 WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 #: Sentences without a cue that a block may hold between two with one.
 GAP = 2
-LEAST_REDUCTION, LEAST_WORDS, TRIED = 0.25, 0.9, 3
+LEAST_REDUCTION, LEAST_WORDS = 0.25, 0.9
 
 
 def words_of(text: str) -> list[str]:
@@ -56,11 +57,12 @@ def words_of(text: str) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def compressors() -> list[tuple[str, list[str], object]]:
+def compressors() -> list[tuple[str, list[str], object, int]]:
+    """Name, words, compressor and own compressed size of each template."""
     import zstandard
 
     of = lambda text: zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-    return [(name, words_of(text), of(text)) for name, text in TEMPLATES.items()]
+    return [(name, words_of(text), of(text), len(plain().compress(text.encode()))) for name, text in TEMPLATES.items()]
 
 
 @lru_cache(maxsize=1)
@@ -70,12 +72,16 @@ def plain() -> object:
     return zstandard.ZstdCompressor(level=9, write_content_size=False, write_checksum=False)
 
 
+def sentences_of(text: str) -> list[tuple[int, int]]:
+    edges = [0, *(x for m in SENTENCE.finditer(text) for x in m.span()), len(text)]
+    return [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Start and end of each block: sentences or lines with a cue, with those between near ones."""
     if not CUE.search(text):
         return []
-    edges = [0, *(x for m in SENTENCE.finditer(text) for x in m.span()), len(text)]
-    sentences = [(a, b) for a, b in zip(edges[::2], edges[1::2], strict=True) if a < b]
+    sentences = sentences_of(text)
     out: list[tuple[int, int]] = []
     last = -GAP - 2
     for i, (a, b) in enumerate(sentences):
@@ -88,9 +94,9 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def differences(template: list[str], block: list[str]) -> tuple[int, int, bool]:
+def differences(template: list[str], block: list[str], after: list[str]) -> tuple[int, int, bool]:
     """Words of the template that the block lacks; words of the block between the first and last it
-    shares that the template lacks; whether a telling word is among either."""
+    shares that the template lacks; whether a telling word is among either. after: words that follow."""
     ops = difflib.SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
     shared = [x for x in ops if x[0] == "equal"]
     if not shared:
@@ -99,26 +105,62 @@ def differences(template: list[str], block: list[str]) -> tuple[int, int, bool]:
     lacks = [w for op, a, b, _, _ in ops if op in ("delete", "replace") for w in template[a:b]]
     more = [w for op, _, _, a, b in ops if op in ("insert", "replace") for w in block[max(a, first) : min(b, last)]]
     # What follows right after the last shared word still belongs to a name or version.
-    tail = block[last : last + 2]
+    tail = [*block, *after][last : last + 2]
     telling = any(w in TELLING or w[0].isdigit() for w in [*lacks, *more, *(tail if lacks else ())])
     return len(lacks), len(more), telling
 
 
+def runs(sizes: list[int], words: int) -> list[tuple[int, int]]:
+    """First and end of the runs of sentences (sizes: their words) that can hold so many words: the
+    least ones with enough, the next longer ones, and all."""
+    out, j, held = {(0, len(sizes))}, 0, 0
+    for i, n in enumerate(sizes):
+        while j < len(sizes) and held < LEAST_WORDS * words:
+            held += sizes[j]
+            j += 1
+        if held >= LEAST_WORDS * words:
+            out |= {(i, j), (i, min(j + 1, len(sizes)))}
+        held -= n
+    return sorted(out)
+
+
+def notices(block: str) -> list[tuple[int, int, str, float, int, int]]:
+    """(start, end, license, part of the template's compressed size that it saves, words lacking,
+    words more) of each confirmed place. Of places that overlap the one with most of its template's
+    words counts."""
+    places = sentences_of(block)
+    said = [words_of(block[a:b]) for a, b in places]
+    have = {w for x in said for w in x}
+    alone: dict[str, int] = {}
+    found = []
+    for name, words, c, own in compressors():
+        if sum(w not in have for w in words) > (1 - LEAST_WORDS) * len(words):
+            continue
+        for i, j in runs([len(x) for x in said], len(words)):
+            a, b = places[i][0], places[j - 1][1]
+            here = [w for x in said[i:j] for w in x]
+            if sum(w not in here for w in set(words)) > (1 - LEAST_WORDS) * len(words):
+                continue
+            text = block[a:b]
+            raw = text.encode()
+            if text not in alone:
+                alone[text] = len(plain().compress(raw))
+            part = (alone[text] - len(c.compress(raw))) / own
+            if part < LEAST_REDUCTION:
+                continue
+            lacks, more, telling = differences(words, here, [w for x in said[j : j + 2] for w in x][:2])
+            if not telling and lacks <= (1 - LEAST_WORDS) * len(words) and more <= (1 - LEAST_WORDS) * len(words):
+                found.append((lacks + more - len(words), b - a, a, b, name, part, lacks, more))
+    out: list[tuple[int, int, str, float, int, int]] = []
+    for _, _, a, b, *what in sorted(found):
+        if all(b <= x[0] or x[1] <= a for x in out):
+            out.append((a, b, *what))
+    return sorted(out)
+
+
 def judged(block: str) -> tuple[str, float, int, int] | None:
-    """(license, part of its compressed size that the block loses, words lacking, words more) of the
-    first of the best ranked templates that its wording confirms."""
-    raw = block.encode()
-    alone = len(plain().compress(raw))
-    ranked = sorted(((alone - len(c.compress(raw))) / alone, -i) for i, (_, _, c) in enumerate(compressors()))[::-1]
-    own = words_of(block)
-    for part, i in ranked[:TRIED]:
-        if part < LEAST_REDUCTION:
-            break
-        name, words, _ = compressors()[-i]
-        lacks, more, telling = differences(words, own)
-        if not telling and lacks <= (1 - LEAST_WORDS) * len(words) and more <= (1 - LEAST_WORDS) * len(words):
-            return name, part, lacks, more
-    return None
+    """The first of a block's notices, without its place."""
+    return next((x[2:] for x in notices(block)), None)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -134,7 +176,7 @@ def scan(docs: DataFrame) -> DataFrame:
             for text in texts:
                 blocks = candidates(text or "")
                 n.append(len(blocks))
-                found.append([{"start": a, "end": b, "license": j[0], "reduction": round(j[1], 4), "lacking": j[2], "more": j[3]} for a, b in blocks if (j := judged(text[a:b]))])
+                found.append([{"start": a + x[0], "end": a + x[1], "license": x[2], "reduction": round(x[3], 4), "lacking": x[4], "more": x[5]} for a, b in blocks for x in notices(text[a:b])])
             return [n, found]
 
         return make

@@ -36,3 +36,15 @@ def test_query(spark, tmp_path):
     one = (1, 1, "Proprietary-notice")
     assert got == {0: (0, 0, ""), 1: (0, 0, ""), 2: (0, 0, ""), 3: one, 4: one, 5: one}
     assert L.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_notices_near_other_cues():
+    names = lambda text: [(x[2], text[a:b][x[0] : x[1]]) for a, b in L.candidates(text) for x in L.notices(text[a:b])]
+    line = "Copyright 2021 The Example Project Authors."
+    assert names(f"{line} All rights reserved.") == [("Proprietary-notice", "All rights reserved.")]
+    assert names(f"{line}\nReleased under the MIT License.") == [("MIT-notice", "Released under the MIT License.")]
+    assert names("Licensed under CC BY 4.0. It was first said here. No permission is asked of anyone who reads it.") == [("CC-BY-4.0-notice", "Licensed under CC BY 4.0.")]
+    both = f"{L.TEMPLATES['Apache-2.0']}\n{line} All rights reserved.\nReleased under the MIT License."
+    assert [n for n, _ in names(both)] == ["Apache-2.0", "Proprietary-notice", "MIT-notice"]
+    every = "\n".join(L.TEMPLATES.values())
+    assert [n for n, _ in names(every)] == list(L.TEMPLATES)
