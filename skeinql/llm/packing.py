@@ -23,38 +23,28 @@ from ._shared import id_text, table
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 END_ID = 0
 CAPACITY, WINDOW_TOKENS, LINEAR, QUADRATIC = 1024, 1 << 20, 1.0, 1 / 256
-#: Sequences looked at for room before a piece is cut.
-LOOKS = 8
 
 
 def pack(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (piece, start in piece, length). There are ceil(total / capacity) of
-    them; a piece that none of the LOOKS cheapest open sequences has room for is cut to fill the
-    cheapest, and its rest is placed like any piece."""
+    them; a piece that none of them has room for is cut to fill the cheapest open one, and its rest
+    is placed like any piece."""
     cost = lambda n: linear * n + quadratic * n * n
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(-(-sum(lengths) // capacity))]
-    room = [capacity] * len(out)
-    open_ = [(0.0, s) for s in range(len(out))]
+    room, costs = np.full(len(out), capacity), np.zeros(len(out))
     todo = [(-cost(n), i, 0, n) for i, n in enumerate(lengths) if n]
     heapq.heapify(todo)
     while todo:
         _, i, start, n = heapq.heappop(todo)
-        passed = []
-        while open_ and len(passed) < LOOKS and room[open_[0][1]] < n:
-            passed.append(heapq.heappop(open_))
-        if open_ and room[open_[0][1]] >= n:
-            c, s = heapq.heappop(open_)
-            take = n
-        else:
-            c, s = passed.pop(0)
-            take = room[s]
+        s = int(np.where(room >= n, costs, np.inf).argmin())
+        if room[s] < n:
+            s = int(np.where(room > 0, costs, np.inf).argmin())
+        take = min(n, int(room[s]))
+        if take < n:
             heapq.heappush(todo, (-cost(n - take), i, start + take, n - take))
-        for x in passed:
-            heapq.heappush(open_, x)
         out[s].append((i, start, take))
         room[s] -= take
-        if room[s]:
-            heapq.heappush(open_, (c + cost(take), s))
+        costs[s] += cost(take)
     return out
 
 

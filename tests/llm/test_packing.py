@@ -54,5 +54,27 @@ def test_padding_is_under_one_sequence_and_costs_are_even():
     assert max(cost) < 1.5 * sum(cost) / len(cost)
 
 
+def test_a_piece_is_cut_only_where_none_has_room():
+    rng = np.random.default_rng(2)
+    lengths = np.minimum(1 + rng.exponential(300, 3000).astype(int), 1024).tolist()
+    seqs = packing.pack(lengths, 1024, 1.0, 1 / 256)
+    cost = lambda n: n + n * n / 256
+    room, costs, where = [1024] * len(seqs), [0.0] * len(seqs), {(i, a): (s, n) for s, x in enumerate(seqs) for i, a, n in x}
+    todo, cuts = [(-cost(n), i, 0, n) for i, n in enumerate(lengths)], 0
+    while todo:
+        todo.sort()
+        _, i, a, n = todo.pop(0)
+        s, got = where[i, a]
+        fits = [k for k in range(len(seqs)) if room[k] >= n]
+        assert got == n if fits else got == room[s]
+        assert costs[s] == min(costs[k] for k in fits or range(len(seqs)) if room[k] > 0)
+        room[s] -= got
+        costs[s] += cost(got)
+        if got < n:
+            cuts += 1
+            todo.append((-cost(n - got), i, a + got, n - got))
+    assert cuts
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
