@@ -77,7 +77,7 @@ def blocks(data: bytes, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     digest = xxhash.xxh3_64_intdigest
     content = np.fromiter((digest(data[a:b]) for a, b in zip(first.tolist(), (first + count + LENGTH - 1).tolist(), strict=True)), np.uint64, len(first))
     anchor = at[first]
-    side = lambda where, there: np.where(there, h[np.where(there, where, 0)] >> np.uint64(64 - MARK_BITS), 0).astype(np.int64)
+    side = lambda where, there: np.where(there, np.maximum(h[np.where(there, where, 0)] >> np.uint64(64 - MARK_BITS), 1), 0).astype(np.int64)
     left = side(anchor - K, anchor - K >= first)
     right = side(anchor + K, anchor + 2 * K <= first + count - 1 + LENGTH)
     return h[anchor], content, first, count | left << COUNT_BITS | right << COUNT_BITS + MARK_BITS

@@ -73,3 +73,13 @@ def test_index_locates_and_matches():
             assert got[i, k] == (s[k : k + 6] in seen)
             seen.add(s[k : k + 6])
         assert not got[i, max(0, len(s) - 5) :].any()
+
+
+def test_a_side_whose_hash_begins_with_zeros_has_a_mark(monkeypatch):
+    real = R.anchors
+    monkeypatch.setattr(R, "anchors", lambda data: (lambda h, at: (h >> np.uint64(R.MARK_BITS), at))(*real(data)))
+    raw = random.Random(2).randbytes(5000)
+    count = R.blocks(raw, np.array([len(raw)]))[3]
+    left, right = (count >> s & (1 << R.MARK_BITS) - 1 for s in (R.COUNT_BITS, R.COUNT_BITS + R.MARK_BITS))
+    assert len(count) and ((left > 0) | (right > 0)).all()
+    assert (left == 0).any() and (right == 0).any()
