@@ -19,6 +19,8 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 SPACES = re.compile(f"[{SPACE}]{{2}}")
+#: White space that long is cut out before the pattern with look-ahead, which would go back over it.
+LONG_SPACE = re.compile(f"[{SPACE}]{{1000,}}")
 
 
 def default_path() -> str:
@@ -48,10 +50,20 @@ class Tokenizer:
         byte = _printable_bytes()
         ranks = {bytes(byte[c] for c in t): i for t, i in vocab["model"]["vocab"].items() if t not in special}
         self.size = max(ranks.values()) + 1
-        self.exact, self.plain = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PATTERN, PLAIN))
+        exact, plain = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PATTERN, PLAIN))
+        self.exact, self.plain, self.piece = exact.encode_ordinary, plain.encode_ordinary, exact._encode_single_piece
 
     def ids(self, text: str | None) -> list[int]:
-        return (self.exact if SPACES.search(text) else self.plain)(text) if text else []
+        if not text or not SPACES.search(text):
+            return self.plain(text) if text else []
+        out, at = [], 0
+        for m in LONG_SPACE.finditer(text):
+            # The pattern takes a run of white space but for the last before a word as one piece.
+            end = m.end() - (m.end() < len(text))
+            out += self.exact(text[at : m.start()])
+            out += self.piece(text[m.start() : end])
+            at = end
+        return out + self.exact(text[at:]) if at else self.exact(text)
 
     def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """end: an id that follows each text."""

@@ -22,6 +22,18 @@ def test_ids_are_the_tokenizers_own():
         assert ids[at[i] : at[i + 1]].tolist() == reference_ids(text)
 
 
+@pytest.mark.parametrize(("run", "n"), [(" ", 1_000_000), ("\n", 1_000_000), ("\u2003", 100_000), ("a", 100_000), (".", 100_000), ("7", 100_000)])
+def test_long_runs_of_one_character(run, n):
+    text = f"a b  {run * n} ."
+    assert tokens.tokenizer(tokens.default_path()).ids(text) == reference_ids(text)
+
+
+@pytest.mark.parametrize("n", [998, 999, 1000, 1001, 1002])
+def test_white_space_about_the_bound(n):
+    for text in (" " * n, "x" + " " * n + "y", "x" + " " * n + "\ty  z" + "\n" * n + "!", "\n" * n + " q", " " * n + "\u2003" * n):
+        assert tokens.tokenizer(tokens.default_path()).ids(text) == reference_ids(text)
+
+
 @pytest.mark.parametrize("window", [1 << 20, 2000])
 def test_every_id_lies_in_one_piece(spark, window):
     docs = spark.createDataFrame([(i if i != 3 else None, t, "extra", i) for i, t in enumerate(TEXTS)], "doc_id long, text string, length string, offset long")
