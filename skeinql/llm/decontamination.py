@@ -9,19 +9,21 @@ are streamed.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import appended, id_text, table
+from ._shared import appended, id_text, named, plain, stored, table
 
 WINDOW = 10
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-#: Words of one automaton; a larger benchmark is streamed in several, one after the other.
-BLOCK_WORDS = 200_000
+#: Words of one automaton (some 100 MB), and automata that a worker holds; a larger benchmark takes
+#: several passes over the documents.
+BLOCK_WORDS, BLOCKS_AT_ONCE = 200_000, 2
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -131,47 +133,23 @@ class SuffixAutomaton:
                     items.add(item)
 
 
-def blocks(benchmark: DataFrame, window: int, block_words: int) -> list[SuffixAutomaton]:
-    """Of the stated items, which don't grow with the corpus; each automaton is bounded."""
-    out, held, n = [], [], 0
+def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[SuffixAutomaton]:
+    """Automata of the stated items, a bounded number of words each."""
+    held, n, made = [], 0, False
     for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         words = words_of(text)
         held.append((item, words))
         n += len(words)
         if n >= block_words:
-            out.append(SuffixAutomaton(held, window))
-            held, n = [], 0
-    return [*out, SuffixAutomaton(held, window)] if held or not out else out
+            yield SuffixAutomaton(held, window)
+            held, n, made = [], 0, True
+    if held or not made:
+        yield SuffixAutomaton(held, window)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with _n_words, _hit_runs (starts and ends of runs of hit words, in turn) and _items.
-
-    Null or empty texts and items have no words; an item_id that is null is passed over in _items;
-    equal items count each for itself; an empty benchmark hits nothing.
-    """
-    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in blocks(benchmark, window, block_words)]
-
-    def start() -> Callable[[list], list[list]]:
-        automata = [b.value for b in shared]
-
-        def make(texts: list) -> list[list]:
-            n, runs, found = [], [], []
-            for text in texts:
-                words = words_of(text)
-                hit, items = np.zeros(len(words), bool), set()
-                for a in automata:
-                    h, i = a.hits(words)
-                    hit |= h
-                    items |= i
-                n.append(len(words))
-                runs.append(np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist() if hit.any() else [])
-                found.append(sorted(i for i in items if i is not None))
-            return [n, runs, found]
-
-        return make
-
-    return appended(docs, "text", "_n_words long, _hit_runs array<long>, _items array<string>", start)
+def runs_of(hit: np.ndarray) -> list[int]:
+    """Starts and ends of runs of true, in turn."""
+    return np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).tolist() if hit.any() else []
 
 
 def without_runs(text: str, runs: list[int]) -> str:
@@ -185,18 +163,71 @@ def without_runs(text: str, runs: list[int]) -> str:
     return b"".join([*kept, raw[last:]]).decode()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs (the same columns) with hit spans taken out of text, and n_chars, if there, to match."""
-    names = docs.columns
-    shared = scan(docs, benchmark, window, block_words)
+PASS = "_n_words long, _hit_runs array<long>, _items array<string>"
+
 
-    def start() -> Callable[[list], list[list]]:
-        return lambda rows: [[without_runs(r["text"], r["runs"]) if r["runs"] else r["text"] for r in rows]]
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, at_once: int = BLOCKS_AT_ONCE, clean: bool = False) -> DataFrame:
+    """docs with _n_words, _hit_runs (starts and ends of runs of hit words, in turn), _items and, if
+    clean, _clean: the column `text` without those runs, which then takes its place.
 
-    out = appended(shared.withColumn("_both", F.struct("text", F.col("_hit_runs").alias("runs"))), "_both", "_clean string", start)
-    changed = F.size("_hit_runs") > 0
-    own = {"text": F.col("_clean"), "n_chars": F.when(changed, F.length("_clean")).otherwise(F.col("n_chars")) if "n_chars" in names else None}
-    return out.select(*(own[c].cast(docs.schema[c].dataType).alias(c) if c in own else F.col(c) for c in names))
+    Null or empty texts and items have no words; an item_id that is null is passed over in _items;
+    equal items count each for itself; an empty benchmark hits nothing; a null doc_id and columns of
+    other names are carried along. Workers hold at most `at_once` automata; a benchmark of more takes
+    further passes, each over a stored table.
+    """
+    sc = docs.sparkSession.sparkContext
+    todo = blocks(benchmark, window, block_words)
+    group = list(itertools.islice(todo, at_once))
+    found = None
+    while group:
+        shared = [sc.broadcast(a) for a in group]
+        group = list(itertools.islice(todo, at_once))
+        last = not group
+
+        def start(shared: list = shared, before: bool = found is not None, cut: bool = clean and last) -> Callable[[list], list[list]]:
+            automata = [b.value for b in shared]
+
+            def one(text: str | None, runs: list[int], known: list[str]) -> list:
+                words = words_of(text)
+                hit, items = np.zeros(len(words), bool), set(known)
+                for a, b in zip(runs[::2], runs[1::2], strict=True):
+                    hit[a:b] = True
+                for a in automata:
+                    h, i = a.hits(words)
+                    hit |= h
+                    items |= i
+                every = runs_of(hit)
+                return [len(words), every, sorted(i for i in items if i is not None), *([without_runs(text, every) if every else text] if cut else [])]
+
+            def make(rows: list) -> list[list]:
+                out = [one(r["text"], r["runs"], r["items"]) if before else one(r, [], []) for r in rows]
+                return [list(c) for c in zip(*out, strict=True)] or [[]] * (3 + cut)
+
+            return make
+
+        fields = PASS + ", _clean string" * (clean and last)
+        if found is None:
+            found = appended(docs, text, fields, start, keep=not (clean and last))
+        else:
+            both = F.struct(F.col(text).alias("text"), F.col("_hit_runs").alias("runs"), F.col("_items").alias("items")).alias("_both")
+            rest = [c for c in found.columns if c not in ("_n_words", "_hit_runs", "_items") and not (c == text and clean and last)]
+            found = appended(found.select(*rest, both), "_both", fields, start, keep=False)
+        if not last:
+            found = stored(found, "hits")
+            for b in shared:
+                b.unpersist()
+    return found
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs (the same columns, whatever their names) with hit spans taken out of text, and n_chars, if
+    there, to match. Nulls and empty tables as in scan()."""
+    own, name = plain(docs)
+    text = name["text"]
+    out = scan(own.withColumn(text, F.col(text).cast("string")), benchmark, text, window, block_words, clean=True).withColumn(text, F.col("_clean"))
+    if "n_chars" in name:
+        out = out.withColumn(name["n_chars"], F.when(F.size("_hit_runs") > 0, F.length("_clean")).otherwise(F.col(name["n_chars"])))
+    return named(out, docs)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

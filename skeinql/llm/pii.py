@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import appended, id_text, table
+from ._shared import appended, id_text, named, plain, table
 from .crf import CRF, LABELS, SPECIAL, TRIM, luhn
 
 KINDS = LABELS[1:]
@@ -202,10 +202,12 @@ def masked(text: str | None, spans: dict[str, list[tuple[int, int]]]) -> str | N
     return "".join([*out, text[at:]]) if out else text
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs with _n (counts of the patterns' spans by kind), _base, _spans and _masked.
+def scan(docs: DataFrame, text: str = "text", keep: bool = True) -> DataFrame:
+    """docs with _n (counts of the patterns' spans by kind), _base, _spans and _masked, and without the
+    column `text` unless it is to be kept.
 
-    A null text has no spans and stays null; an empty one is empty; equal rows are alike.
+    A null text has no spans and stays null; an empty one is empty; equal rows are alike; a null doc_id
+    and columns of other names are carried along; an empty table gives none.
     """
 
     def start() -> Callable[[list], list[list]]:
@@ -220,16 +222,18 @@ def scan(docs: DataFrame) -> DataFrame:
 
         return make
 
-    return appended(docs, "text", "_n array<long>, _base string, _spans string, _masked string", start)
+    return appended(docs, text, "_n array<long>, _base string, _spans string, _masked string", start, keep)
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """docs (the same columns) with personal data masked, and n_chars, if there, to match."""
-    names, kinds = docs.columns, dict(docs.dtypes)
-    out = scan(docs).withColumn("text", F.col("_masked").cast(kinds["text"]))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_spans") != "", F.length("text")).otherwise(F.col("n_chars")).cast(kinds["n_chars"]))
-    return out.select(*names)
+    """docs (the same columns, whatever their names) with personal data masked, and n_chars, if there,
+    to match. Nulls and empty tables as in scan()."""
+    own, name = plain(docs)
+    text = name["text"]
+    out = scan(own.withColumn(text, F.col(text).cast("string")), text, keep=False).withColumn(text, F.col("_masked"))
+    if "n_chars" in name:
+        out = out.withColumn(name["n_chars"], F.when(F.col("_spans") != "", F.length("_masked")).otherwise(F.col(name["n_chars"])))
+    return named(out, docs)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

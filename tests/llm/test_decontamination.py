@@ -4,6 +4,8 @@ import re
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from skeinql.llm import decontamination as D
 
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog and runs far away from home today"), (2, "short item here"), (3, None), (4, ""), (5, "a b c d e f g h i j"), (6, "short item here"), (7, "B a B a B a b a b a b")]
@@ -63,14 +65,18 @@ def test_sql_gives_the_same(spark, folder):
 def test_blocks_give_the_same(spark, folder):
     docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
     docs = docs.drop("_items")
-    a, b = (sorted(map(tuple, D.scan(docs, bench, block_words=n).select("doc_id", "_n_words", "_hit_runs", "_items").collect())) for n in (1, 1000))
+    a, b, c = (sorted(map(tuple, D.scan(docs, bench, block_words=n, at_once=k).select("doc_id", "_n_words", "_hit_runs", "_items").collect())) for n, k in ((1, 100), (1, 2), (1000, 1)))
+    assert a == b == c
+    a, b = (sorted(map(tuple, D.scan(docs, bench, block_words=n, at_once=1, clean=True).select("doc_id", "_items", "_clean").collect())) for n in (1, 1000))
     assert a == b
 
 
 def test_hit_spans_are_taken_out(spark, folder):
     docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
-    docs = docs.drop("_items")
-    out = {r.doc_id: r.text for r in D.decontaminate(docs, bench).collect()}
+    docs = docs.withColumns({c: F.lit(c) for c in ("_clean", "_hit_runs", "_both", "c0", "runs")})
+    rows = D.decontaminate(docs, bench).collect()
+    assert all(r[c] == c for r in rows for c in ("_clean", "_hit_runs", "_both", "c0", "runs")) and rows[0].__fields__ == docs.columns
+    out = {r.doc_id: r.text for r in rows}
     assert out[0] == "xx ? then ." and out[1] is None and out[2] == "" and out[5] == "short item"
     assert out[7] == "größe  größe"
 

@@ -63,7 +63,7 @@ TEXTS = [None, "", "mail a@b.example now", "mail a@b.example now", "x " * 30000
 
 
 def test_query(spark, tmp_path):
-    spark.createDataFrame([(i, t, i) for i, t in enumerate(TEXTS)], "doc_id long, text string, _n int").drop("_n").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t, i) for i, t in enumerate(TEXTS)], "doc_id long, text string, _n int").write.parquet(f"{tmp_path}/documents.parquet")
     for r in pii.op6_pii(spark, str(tmp_path)).collect():
         want = brute(TEXTS[r.doc_id] or "") if r.doc_id != 5 else pii.base_spans(TEXTS[5])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(want[k]) for k in pii.KINDS]
@@ -71,6 +71,8 @@ def test_query(spark, tmp_path):
 
 
 def test_mask(spark):
-    df = spark.createDataFrame([(1, "a@b.example ok", 14, "x"), (2, None, None, "y")], "doc_id long, text string, n_chars long, source string")
-    assert sorted(map(tuple, pii.mask(df).collect())) == [(1, "[EMAIL] ok", 10, "x"), (2, None, None, "y")]
+    df = spark.createDataFrame([(1, "a@b.example ok", 14, "x", 7, "z"), (2, None, None, "y", 8, None)], "doc_id long, text string, n_chars long, _n string, _masked int, _spans string")
+    out = pii.mask(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [(1, "[EMAIL] ok", 10, "x", 7, "z"), (2, None, None, "y", 8, None)]
+    assert [tuple(r) for r in pii.mask(spark.createDataFrame([(None, "at 10.1.2.3")], "doc_id long, text string")).collect()] == [(None, "at [IP]")]
     assert pii.mask(df.limit(0)).collect() == []
