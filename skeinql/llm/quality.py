@@ -1,10 +1,12 @@
 """Quality rules: fixed rules on each document, and lines that many documents of a host share.
 
 Lines are normalised (A-Z in lower case, white space to one blank) and hashed. For each host
-(`source`) the different documents that have a line are counted, exact copies of a text once. A line
-over both limits, `min_docs` documents and `share` of the host's different documents, is removed; a
-document is depleted, and rejected, if fewer than `min_words` words or `min_left` of them are left.
-The share lies over a third, so that one large group of copies doesn't make its own text boilerplate.
+(`source`) the different documents that have a line are counted, exact copies of a text once. A host's
+limit is `min_docs` documents, or `share` of its different documents if that is less, but at least
+`least_docs`. Lines over the limit are counted once more, now only in documents of which at least
+`min_left` is no such line: a group of near copies, however large, has nothing but shared lines and
+doesn't vouch for them. Lines still over the limit are removed; a document is depleted, and rejected,
+if fewer than `min_words` words or `min_left` of them are left.
 """
 
 from __future__ import annotations
@@ -12,13 +14,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import appended, stored, table
+from ._shared import appended, named, plain, stored, table
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
-MIN_DOCS, SHARE, MIN_LEFT = 10, 0.35, 0.5
+MIN_DOCS, SHARE, LEAST_DOCS, MIN_LEFT = 20, 0.05, 4, 0.5
+SEED = 42  # of xxhash64() in SQL
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -45,11 +48,17 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
 
 
 def line_hash(line: bytes) -> int:
-    """Of the normalised line, as a signed number; 0 for a line without a word."""
+    """Of the normalised line, as a signed number; 0 for a line without a word. line_column() is the
+    same for lines with one."""
     import xxhash
 
     words = line.lower().split()
-    return (xxhash.xxh64_intdigest(b" ".join(words)) + (1 << 63)) % (1 << 64) - (1 << 63) if words else 0
+    return (xxhash.xxh64_intdigest(b" ".join(words), SEED) + (1 << 63)) % (1 << 64) - (1 << 63) if words else 0
+
+
+def line_column(line: Column) -> Column:
+    low = F.translate(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.xxhash64(low)
 
 
 def features(text: str | None) -> tuple[list[int], list[int], list[int]]:
@@ -62,12 +71,13 @@ def features(text: str | None) -> tuple[list[int], list[int], list[int]]:
     return base, [line_hash(x) for x in lines], [len(x.split()) for x in lines]
 
 
-def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
+def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least_docs: int = LEAST_DOCS, min_left: float = MIN_LEFT, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, source, the base numbers, base_failed, kept, n_removed_lines, n_removed_words, _key
     (hash of the text) and _removed (hashes of the lines to remove) for each row of docs.
 
     A null or empty text has no words and fails; a null source is a host of its own; equal rows are
-    judged alike, and count as one document for the limits; an empty table gives none.
+    judged alike, and count as one document for the limits; a null doc_id stays null; an empty table
+    gives none.
     """
 
     def start() -> Callable[[list], list[list]]:
@@ -77,17 +87,24 @@ def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_
 
         return make
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    made = appended(slim, "text", f"{BASE}, _lines array<long>, _words array<int>", start)
-    made = stored(made.withColumn("_key", F.xxhash64("text")).drop("text").withColumn("_row", F.monotonically_increasing_id()), "lines")
-    different = made.groupBy("source", "_key").agg(F.first("_lines").alias("_lines"))
-    hosts = different.groupBy("source").agg(F.count("*").alias("_docs"))
-    shared = different.select("source", F.explode(F.array_distinct("_lines")).alias("_line")).filter("_line <> 0").groupBy("source", "_line").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_docs)
-    host = F.coalesce("source", F.lit("")), F.col("source").isNull()
-    on = lambda df, *more: df.select(host[0].alias("_h"), host[1].alias("_null"), *more)
-    limits = on(hosts, "_docs")
-    frequent = stored(on(shared, "_line", "_n").join(limits, ["_h", "_null"]).filter(F.col("_n") > share * F.col("_docs")).select("_h", "_null", "_line"), "frequent")
-    each = on(made, "_row", F.explode(F.arrays_zip("_lines", "_words")).alias("x")).select("_h", "_null", "_row", F.col("x._lines").alias("_line"), F.col("x._words").alias("_w"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("_key"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    made = appended(slim, "text", f"{BASE}, _lines array<long>, _words array<int>", start, keep=False)
+    made = stored(made.withColumn("_row", F.monotonically_increasing_id()), "lines")
+    host = F.coalesce("source", F.lit("")).alias("_h"), F.col("source").isNull().alias("_null")
+    pairs = F.explode(F.arrays_zip(F.col("_lines").alias("line"), F.col("_words").alias("w"))).alias("x")
+    different = made.groupBy(*host, "_key").agg(F.first("_lines").alias("_lines"), F.first("_words").alias("_words"), F.first("n_words").alias("n_words"))
+    limits = different.groupBy("_h", "_null").agg(F.least(F.lit(float(min_docs)), F.greatest(F.lit(float(least_docs)), share * F.count("*"))).alias("_limit"))
+
+    def over(lines: DataFrame) -> DataFrame:
+        counted = lines.groupBy("_h", "_null", "_line").agg(F.count("*").alias("_n")).filter(F.col("_n") > min(min_docs, least_docs))
+        return counted.join(limits, ["_h", "_null"]).filter(F.col("_n") > F.col("_limit")).select("_h", "_null", "_line")
+
+    shared = stored(over(different.select("_h", "_null", F.explode(F.array_distinct("_lines")).alias("_line")).filter("_line <> 0")), "shared")
+    # The lines over the limit in each different document, and whether enough of it is its own.
+    hits = different.select("_h", "_null", "_key", "n_words", pairs).select("_h", "_null", "_key", "n_words", F.col("x.line").alias("_line"), "x.w").join(shared, ["_h", "_null", "_line"])
+    own = hits.groupBy("_h", "_null", "_key").agg(F.collect_set("_line").alias("_lines"), (F.first("n_words") - F.sum("w") >= min_left * F.first("n_words")).alias("own")).filter("own")
+    frequent = stored(over(own.select("_h", "_null", F.explode("_lines").alias("_line"))), "frequent")
+    each = made.select(*host, "_row", pairs).select("_h", "_null", "_row", F.col("x.line").alias("_line"), F.col("x.w").alias("_w"))
     taken = each.join(frequent, ["_h", "_null", "_line"]).groupBy("_row").agg(F.count("*").alias("n_removed_lines"), F.sum("_w").alias("n_removed_words"), F.collect_set("_line").alias("_removed"))
     out = made.drop("_lines", "_words").join(stored(taken, "taken"), "_row", "left").na.fill(0, ["n_removed_lines", "n_removed_words"])
     left = F.col("n_words") - F.col("n_removed_words")
@@ -96,29 +113,21 @@ def judged(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted).drop("_row")
 
 
-def without_lines(text: str, removed: list[int]) -> str:
-    gone = set(removed)
-    return "\n".join(x for x in text.split("\n") if line_hash(x.encode()) not in gone)
-
-
 def filtered(docs: DataFrame, **limits: float) -> DataFrame:
-    """The documents kept, with the columns of docs: lines over the limits are taken out of text,
-    and n_chars, if there, follows. Verdicts belong to (doc_id, source, text)."""
-    names, kinds = docs.columns, dict(docs.dtypes)
-    verdicts = judged(docs, **limits)
-    changed = stored(verdicts.filter(~F.col("kept") | (F.col("n_removed_lines") > 0)).select("doc_id", "source", "_key", "kept", "_removed").dropDuplicates(["doc_id", "source", "_key"]), "changed")
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(F.col("text").cast("string")))
-    changed = changed.select(F.xxhash64("doc_id", "source", "_key").alias("_verdict"), F.col("kept").alias("_kept"), "_removed")
-
-    def start() -> Callable[[list], list[list]]:
-        return lambda rows: [[without_lines(r["text"], r["gone"]) if r["gone"] else r["text"] for r in rows]]
-
-    out = docs.withColumn("_verdict", key).join(changed, "_verdict", "left").filter(F.coalesce("_kept", F.lit(True))).drop("_verdict", "_kept")
-    out = out.withColumn("_both", F.struct(F.col("text").cast("string").alias("text"), F.col("_removed").alias("gone"))).drop("text", "_removed")
-    out = appended(out, "_both", "_clean string", start)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_both.gone") > 0, F.length("_clean")).otherwise(F.col("n_chars")).cast(kinds["n_chars"]))
-    return out.withColumn("text", F.col("_clean").cast(kinds["text"])).select(*names)
+    """The documents kept, with the columns of docs, whatever their names: lines over the limits are
+    taken out of text, and n_chars, if there, follows. Verdicts belong to (doc_id, source, text).
+    Nulls and empty tables as in judged()."""
+    changed = judged(docs, **limits).filter(~F.col("kept") | (F.col("n_removed_lines") > 0))
+    changed = stored(changed.select(F.xxhash64("doc_id", "source", "_key").alias("_verdict"), F.col("kept").alias("_kept"), "_removed").dropDuplicates(["_verdict"]), "changed")
+    own, name = plain(docs)
+    text = F.col(name["text"]).cast("string")
+    key = F.xxhash64(F.col(name["doc_id"]).cast("long"), F.col(name["source"]).cast("string"), F.xxhash64(text))
+    out = own.withColumn("_verdict", key).join(changed, "_verdict", "left").filter(F.coalesce("_kept", F.lit(True)))
+    less = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("_removed", line_column(x))), "\n")
+    out = out.withColumn(name["text"], F.when(F.size("_removed") > 0, less).otherwise(text))
+    if "n_chars" in name:
+        out = out.withColumn(name["n_chars"], F.when(F.size("_removed") > 0, F.length(name["text"])).otherwise(F.col(name["n_chars"])))
+    return named(out, docs)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +145,13 @@ line AS (SELECT r, doc_id, source, text, x, regexp_extract_all(x, '[^\\x20\\x09-
 worded AS (SELECT r, doc_id, source, text, x, len(lw) AS k, {_LOW.format("array_to_string(lw, ' ')")} AS line FROM line WHERE len(lw) > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT x) AS n FROM worded GROUP BY r),
 host AS (SELECT source, count(DISTINCT coalesce(text, chr(0))) AS docs FROM d GROUP BY source),
-freq AS (SELECT l.source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM worded GROUP BY source, line) l JOIN host h ON l.source IS NOT DISTINCT FROM h.source WHERE n > {MIN_DOCS} AND n > {SHARE} * docs),
+lim AS (SELECT source, least({MIN_DOCS}, greatest({LEAST_DOCS}, {SHARE} * docs)) AS most FROM host),
+shared AS (SELECT l.source, line FROM (SELECT source, line, count(DISTINCT text) AS n FROM worded GROUP BY source, line) l JOIN lim h ON l.source IS NOT DISTINCT FROM h.source WHERE n > most),
+own AS (
+  SELECT source, text, list(DISTINCT line) AS ls FROM (
+    SELECT w.source, w.text, w.line, w.k, w.r, min(w.r) OVER (PARTITION BY w.source, w.text) AS r1 FROM worded w JOIN shared s ON w.source IS NOT DISTINCT FROM s.source AND w.line = s.line)
+  JOIN (SELECT r, len(w) AS nw FROM d) USING (r) WHERE r = r1 GROUP BY source, text HAVING any_value(nw) - sum(k) >= {MIN_LEFT} * any_value(nw)),
+freq AS (SELECT l.source, line FROM (SELECT source, line, count(*) AS n FROM (SELECT source, unnest(ls) AS line FROM own) GROUP BY source, line) l JOIN lim h ON l.source IS NOT DISTINCT FROM h.source WHERE n > most),
 gone AS (SELECT r, count(*) AS n, sum(k) AS gw FROM worded l JOIN freq f ON l.source IS NOT DISTINCT FROM f.source AND l.line = f.line GROUP BY r),
 t AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 
 import corpus_pipeline
-from skeinql.llm import pii, quality, tokens
+from skeinql.llm import pii, tokens
 from skeinql.llm.decontamination import WORD
 from tests.llm import test_decontamination, test_quality, test_simhash
 
@@ -24,17 +24,12 @@ def documents():
 
 def brute(rows):
     """Texts by doc_id after all stages but packing."""
+    goes = test_quality.removed([(i, t, s) for i, t, _, s, *_ in rows])
     verdicts = {r[0]: r for r in test_quality.brute([(i, t, s) for i, t, _, s, *_ in rows])}
-    have, hosts = defaultdict(set), defaultdict(set)
-    for _, t, _, s, *_ in rows:
-        hosts[s].add(t)
-        for x in (t or "").split("\n"):
-            have[s, quality.line_hash(x.encode())].add(t)
     texts = {}
     for i, t, _, s, *_ in rows:
         if verdicts[i][7]:
-            gone = lambda x, s=s: quality.line_hash(x.encode()) != 0 and len(have[s, quality.line_hash(x.encode())]) > max(10, 0.35 * len(hosts[s]))
-            texts[i] = "\n".join(x for x in t.split("\n") if not gone(x))
+            texts[i] = "\n".join(x for x in t.split("\n") if not goes(s, x))
     ids = sorted(texts)
     group = test_simhash.brute_groups([test_simhash.brute_print(texts[i]) for i in ids])
     texts = {i: texts[i] for k, i in enumerate(ids) if group[k] == k}
