@@ -1,16 +1,18 @@
 """LM scoring: prediction by partial matching over bytes, trained on the corpus.
 
-A trie of byte contexts up to ORDER bytes long holds how often each byte followed each context in
+Counts over byte contexts up to ORDER bytes long tell how often each byte followed each context in
 the training documents, all of them counted. A byte is predicted from its longest context; a byte
 not seen there escapes to the next shorter context (method C: the number of different bytes seen
 weighs as the escape's count), with the bytes of the context it left excluded. Below the empty
 context every byte not seen is alike. A document is its tokens (A-Z in lower case) joined by blanks,
 then a line feed as its end, so the score is the log10 probability of what the base score also rates.
 
-The trie that scorers hold has at most NODES nodes: contexts under the least count that keeps to
-this bound are left out with all their bytes, and a longer context's own contexts are kept whenever
-it is. Token counts have no bound: the DICTIONARY most frequent go with every task, all others meet
-their counts in a join.
+Nothing is left out, however large the corpus: a gram of the longest context that training has seen has
+its log in a table, which documents meet in a join; the CACHE most frequent go with every task. A gram
+not seen there needs its shorter contexts: all grams that agree in the last ROUTE bytes of their
+context lie in one shard, which with the counts of the orders below ROUTE makes a trie of its own (at
+most 256^(ORDER - ROUTE + 1) grams for one such context, and 256^ROUTE grams sent along). Token counts
+likewise: the DICTIONARY most frequent go with every task, all others meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -21,14 +23,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import appended, id_text, stored, table
 
 ORDER = 5
-NODES = 1 << 21
-DICTIONARY = 1 << 16
+ROUTE = 3
+CACHE, DICTIONARY = 1 << 20, 1 << 16
+#: Grams that a shard is planned for.
+SHARD = 1 << 20
 END = b"\n"
 #: Different tokens and grams that a training task holds before it passes its counts on, and bytes
 #: that are counted or scored at once.
@@ -91,43 +95,11 @@ class Trie:
             up = np.searchsorted(self.contexts[k - 1], self._shorter(self.contexts[k], k))
             rest = self.total[k - 1][up] - np.bincount(at, seen, len(self.contexts[k]))
             self.below.append(rest + self.kinds[k - 1][up] - self.kinds[k])
-        top = self.order
-        at = np.searchsorted(self.contexts[top], self.codes[top] >> np.uint64(8))
-        self.first = np.log10(self.n[top] / (self.total[top] + self.kinds[top])[at]) if len(at) else np.zeros(0)
-        self._hash()
 
     @staticmethod
     def _shorter(ctx: np.ndarray, order: int) -> np.ndarray:
         return ctx & np.uint64((1 << 8 * (order - 1)) - 1)
 
-    MIX = np.uint64(0x9E3779B97F4A7C15)
-
-    def _hash(self) -> None:
-        """Open addressing for the longest grams, at a load of a quarter or less."""
-        bits = max(4, int(np.ceil(np.log2(max(1, len(self.first)) * 4))))
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.slot = np.full(1 << bits, -1, np.int32)
-        left = np.arange(len(self.first))
-        at = ((self.codes[-1] * self.MIX) >> self.shift).astype(np.int64)
-        while len(left):
-            free = self.slot[at] < 0
-            self.slot[at[free]] = left[free]
-            lost = self.slot[at] != left
-            left, at = left[lost], (at[lost] + 1) & self.mask
-
-    def _top(self, codes: np.ndarray) -> np.ndarray:
-        """Where each longest gram is, or -1."""
-        if not len(self.first):
-            return np.full(len(codes), -1)
-        at = ((codes * self.MIX) >> self.shift).astype(np.int64)
-        out = self.slot[at].astype(np.int64)
-        left = np.flatnonzero((out >= 0) & (self.codes[-1][out] != codes))
-        while len(left):
-            at[left] = (at[left] + 1) & self.mask
-            out[left] = self.slot[at[left]]
-            left = left[(out[left] >= 0) & (self.codes[-1][out[left]] != codes[left])]
-        return out
-
     @staticmethod
     def _find(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
         if not len(sorted_):
@@ -137,16 +109,11 @@ class Trie:
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
         """Log10 probability of each gram's last byte after the bytes before it."""
-        at = self._top(codes)
-        out = np.where(at >= 0, self.first[at] if len(self.first) else 0.0, 0.0)
-        todo = np.flatnonzero(at < 0)
-        if len(todo):
-            kinds, back = np.unique(codes[todo], return_inverse=True)
-            out[todo] = self._escaped(kinds)[back]
-        return out
+        kinds, back = np.unique(codes, return_inverse=True)
+        return self._escaped(kinds)[back]
 
     def _escaped(self, codes: np.ndarray) -> np.ndarray:
-        """For grams that the longest context may not have."""
+        """Of different grams, from the longest context down."""
         out, weight = np.zeros(len(codes)), np.full(len(codes), np.nan)
         left = np.arange(len(codes))
         over = np.zeros(len(codes))  # bytes excluded
@@ -168,12 +135,55 @@ class Trie:
         out[left] += -np.log10(256 - over[left])
         return out
 
-    def score(self, data: list[bytes]) -> np.ndarray:
-        """Of documents, each ending with END."""
+
+class Known:
+    """Logs of some grams, found by open addressing at a load of a quarter or less."""
+
+    MIX = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        self.codes, self.logs = codes, logs
+        bits = max(4, int(np.ceil(np.log2(max(1, len(codes)) * 4))))
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slot = np.full(1 << bits, -1, np.int32)
+        left = np.arange(len(codes))
+        at = ((codes * self.MIX) >> self.shift).astype(np.int64)
+        while len(left):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = left[free]
+            lost = self.slot[at] != left
+            left, at = left[lost], (at[lost] + 1) & self.mask
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Where each gram is, or -1."""
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        at = ((codes * self.MIX) >> self.shift).astype(np.int64)
+        out = self.slot[at].astype(np.int64)
+        left = np.flatnonzero((out >= 0) & (self.codes[out] != codes))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            out[left] = self.slot[at[left]]
+            left = left[(out[left] >= 0) & (self.codes[out[left]] != codes[left])]
+        return out
+
+    def score(self, data: list[bytes], order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Of documents, each ending with END: the sum of the logs known, the grams that aren't, and how
+        often each occurs."""
         if not data:
-            return np.zeros(0)
-        logs = self.logs(grams(b"".join(data), self.order))
-        return np.add.reduceat(logs, np.cumsum([0, *map(len, data)])[:-1])
+            return np.zeros(0), [], []
+        ends = np.cumsum([len(d) for d in data])
+        codes = grams(b"".join(data), order)
+        at = self.find(codes)
+        logs = np.where(at >= 0, self.logs[at], 0.0) if len(self.logs) else np.zeros(len(codes))
+        gone = np.flatnonzero(at < 0)
+        whose, codes = np.searchsorted(ends, gone, "right"), codes[gone]
+        by = np.lexsort((codes, whose))
+        whose, codes = whose[by], codes[by]
+        first = np.flatnonzero(np.concatenate([[True], (whose[1:] != whose[:-1]) | (codes[1:] != codes[:-1])])) if len(by) else by
+        n = np.diff(np.concatenate([first, [len(by)]]))
+        cut = np.searchsorted(whose[first], np.arange(1, len(data)))
+        return np.add.reduceat(logs, np.concatenate([[0], ends[:-1]])), np.split(codes[first].view(np.int64), cut), np.split(n, cut)
 
 
 def train_counts(docs: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
@@ -217,78 +227,99 @@ def train_counts(docs: DataFrame, order: int) -> tuple[DataFrame, DataFrame]:
     return counted.filter("not gram").select(F.col("k").alias("h"), "n"), counted.filter("gram").select(F.col("k").alias("g"), "n")
 
 
-def bounded_trie(counts: DataFrame, order: int, nodes: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Counts by order, of contexts frequent enough that all orders together have at most `nodes`."""
-    level, by_order = counts, []
-    for k in range(order, -1, -1):
-        if k < order:
-            level = stored(level.groupBy(F.col("g").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("g")).agg(F.sum("n").alias("n")), "level")
-        by_order.append(level.withColumn("c", F.shiftright("g", 8)).withColumn("order", F.lit(k)))
-    # How many nodes the contexts have by the power of two of their count, then by count in the power where the bound lies.
-    contexts = None
-    for k, x in enumerate(reversed(by_order)):
-        if k:
-            own = x.groupBy("order", "c").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-            contexts = own if contexts is None else contexts.unionByName(own)
-    contexts = stored(contexts, "contexts")
-    least = 1
-    room = nodes - 256
-    powers = {r.p: r.s for r in contexts.groupBy(F.floor(F.log2("total")).alias("p")).agg(F.sum("kinds").alias("s")).collect()}
-    for p in sorted(powers, reverse=True):
-        if powers[p] > room:
-            fine = contexts.filter((F.col("total") >= 1 << p) & (F.col("total") < 2 << p)).groupBy(F.floor((F.col("total") - (1 << p)) * 256 / (1 << p)).alias("step")).agg(F.sum("kinds").alias("s")).collect()
-            step = 256
-            for r in sorted(fine, reverse=True):
-                if r.s > room:
-                    break
-                room, step = room - r.s, r.step
-            least = -(-((1 << p) * (256 + step)) // 256)
+def frequent(counts: DataFrame, most: int) -> Column:
+    """The condition that at most so many rows of counts, those of the largest n, meet."""
+    step = F.floor(F.log2("n") * 16)
+    room, least = most, 1 << 16
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        if r.rows > room:
             break
-        room -= powers[p]
+        room, least = room - r.rows, r.step
+    return step >= least
+
+
+def low_orders(counts: DataFrame, orders: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts of all grams of the first orders: at most 256^orders."""
     out = []
-    for k, x in enumerate(reversed(by_order)):
-        if k:
-            x = x.join(contexts.filter((F.col("order") == k) & (F.col("total") >= least)).select("c"), "c", "left_semi")
-        t = x.select("g", "n").toArrow()
+    for k in range(orders):
+        t = counts.groupBy(F.col("g").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("g")).agg(F.sum("n").alias("n")).toArrow()
         codes, n = t["g"].to_numpy().astype(np.uint64), t["n"].to_numpy().astype(np.int64)
         at = np.argsort(codes)
         out.append((codes[at], n[at]))
     return out
 
 
-_tries: dict[int, Trie] = {}
+def trie(low: list[tuple[np.ndarray, np.ndarray]], codes: np.ndarray, n: np.ndarray, order: int) -> Trie:
+    """Of the low orders and the longest grams, complete for each of their contexts of len(low) bytes."""
+    levels = []
+    for k in range(order, len(low) - 1, -1):
+        codes, at = np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        n = np.bincount(at, n, len(codes)).astype(np.int64)
+        levels.append((codes, n))
+    return Trie([*low, *levels[::-1]])
+
+
+def unseen_logs(counts: DataFrame, unseen: DataFrame, order: int, route: int, shard: int) -> DataFrame:
+    """(g, log) of grams (g, different ones) that counts hasn't."""
+    route = min(route, order)
+    low = counts.sparkSession.sparkContext.broadcast(low_orders(counts, route))
+    end = F.shiftright("g", 8).bitwiseAND((1 << 8 * route) - 1).alias("end")
+    near = counts.select(end, "g", "n").join(unseen.select(end).distinct(), "end", "left_semi")
+    number = max(1, -(-counts.count() // shard))
+    group = F.pmod(F.xxhash64("end"), F.lit(number)).alias("shard")
+
+    def score(seen: pa.Table, asked: pa.Table) -> pa.Table:
+        g = asked["g"].to_numpy()
+        made = trie(low.value, seen["g"].to_numpy().astype(np.uint64), seen["n"].to_numpy(), order) if len(g) else None
+        return pa.table({"g": g, "log": made.logs(g.astype(np.uint64)) if made else np.zeros(0)})
+
+    return near.groupBy(group).cogroup(unseen.select(end, "g").groupBy(group)).applyInArrow(score, "g long, log double")
+
+
+_known: dict[int, Known] = {}
 
 
 def base_log(c: Column, n: int, v: int) -> Column:
     return F.log10((c + F.lit(0.1)) / F.lit(n + 0.1 * (v + 1)))
 
 
-def scores(docs: DataFrame, order: int = ORDER, nodes: int = NODES, dictionary: int = DICTIONARY) -> DataFrame:
+def scores(docs: DataFrame, order: int = ORDER, route: int = ROUTE, cache: int = CACHE, dictionary: int = DICTIONARY, shard: int = SHARD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs.
 
     A null or empty text is its end alone; equal rows count and score each for itself. Without any
-    training document N and V are 0, no token is known, and every byte is as likely as any other.
+    training document N and V are 0, no token is known, and every byte is as likely as any other. cache,
+    dictionary and shard change no score.
     """
     docs = id_text(docs)
     sc = docs.sparkSession.sparkContext
     token_counts, gram_counts = train_counts(docs, order)
     total = token_counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = dict(token_counts.orderBy(F.desc("n"), "h").limit(dictionary).collect())
-    model = sc.broadcast((bounded_trie(gram_counts, order, nodes), np.array(sorted(frequent), np.int64), np.array([frequent[h] for h in sorted(frequent)], np.int64)))
+    common = dict(token_counts.filter(frequent(token_counts, dictionary)).collect())
+    context = Window.partitionBy(F.shiftright("g", 8))  # at most 256 rows
+    gram_logs = stored(gram_counts.select("g", "n", F.log10(F.col("n") / (F.sum("n").over(context) + F.count("*").over(context))).alias("log")), "logs")
+    sent = gram_logs.filter(frequent(gram_logs, cache)).select("g", "log").toArrow()
+    model = sc.broadcast((sent["g"].to_numpy().astype(np.uint64), sent["log"].to_numpy(), np.array(sorted(common), np.int64), np.array([common[h] for h in sorted(common)], np.int64)))
     number, kinds = int(total[0]), int(total[1])
 
     def start() -> Callable[[list], list[list]]:
-        counts, hashes, n = model.value
-        if id(counts) not in _tries:
-            _tries.clear()
-            _tries[id(counts)] = Trie(counts)
-        trie = _tries[id(counts)]
+        codes, logs_, hashes, n = model.value
+        if id(codes) not in _known:
+            _known.clear()
+            _known[id(codes)] = Known(codes, logs_)
+        table_ = _known[id(codes)]
         known = dict(zip(hashes.tolist(), n.tolist(), strict=True))
         logs = {h: float(np.log10((c + 0.1) / (number + 0.1 * (kinds + 1)))) for h, c in known.items()}
 
         def make(texts: list) -> list[list]:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], [], []]
             data, size = [], 0
+
+            def flush() -> None:
+                nonlocal data, size
+                for col, v in zip(out[5:], table_.score(data, order), strict=True):
+                    col.extend(v)
+                data, size = [], 0
+
             for text in texts:
                 own = tokens(text)
                 data.append(b" ".join(own[:-1]) + END)
@@ -306,22 +337,26 @@ def scores(docs: DataFrame, order: int = ORDER, nodes: int = NODES, dictionary:
                 for col, v in zip(out, (len(own), n_known, base, rest, rest_n), strict=False):
                     col.append(v)
                 if size >= HELD_BYTES:
-                    out[5] += trie.score(data).tolist()
-                    data, size = [], 0
-            out[5] += trie.score(data).tolist()
+                    flush()
+            flush()
             return out
 
         return make
 
-    first = appended(docs, "text", "_n long, _known long, _base double, _rest array<long>, _tf array<long>, _score double", start)
-    first = stored(first.drop("text").withColumn("_row", F.monotonically_increasing_id()), "scored")
+    first = appended(docs, "text", "_n long, _known long, _base double, _rest array<long>, _tf array<long>, _score double, _grams array<long>, _times array<long>", start, keep=False)
+    first = stored(first.withColumn("_row", F.monotonically_increasing_id()), "scored")
     rest = first.select("_row", F.explode(F.arrays_zip(F.col("_rest").alias("h"), F.col("_tf").alias("tf"))).alias("x")).select("_row", "x.h", "x.tf")
     c = F.coalesce(F.col("n"), F.lit(0))
     met = rest.join(token_counts, "h", "left").groupBy("_row").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * base_log(c, number, kinds)).alias("base"))
+    left = first.select("_row", F.explode(F.arrays_zip(F.col("_grams").alias("g"), F.col("_times").alias("times"))).alias("x")).select("_row", "x.g", "x.times")
+    unseen = stored(left.select("g").distinct().join(gram_logs, "g", "left_anti"), "unseen")
+    every = gram_logs.select("g", "log").unionByName(stored(unseen_logs(gram_counts, unseen, order, route, shard), "unseen_logs"))
+    rare = left.join(every, "g").groupBy("_row").agg(F.sum(F.col("times") * F.col("log")).alias("rare"))
     out_of = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(10)) == 0
     return (
-        first.drop("_rest", "_tf")
+        first.drop("_rest", "_tf", "_grams", "_times")
         .join(met, "_row", "left")
+        .join(rare, "_row", "left")
         .select(
             "doc_id",
             out_of.alias("held_out"),
@@ -329,7 +364,7 @@ def scores(docs: DataFrame, order: int = ORDER, nodes: int = NODES, dictionary:
             (F.col("_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
             F.lit(number).cast("long").alias("train_tokens"),
             (F.col("_base") + F.coalesce("base", F.lit(0.0))).alias("base_score"),
-            F.col("_score").alias("score"),
+            (F.col("_score") + F.coalesce("rare", F.lit(0.0))).alias("score"),
         )
     )
 

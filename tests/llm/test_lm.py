@@ -45,15 +45,15 @@ def brute_ppm(train, text, order):
     return total
 
 
-@pytest.mark.parametrize("dictionary", [4, 1000])
-def test_query_against_brute_force(spark, tmp_path, dictionary):
+@pytest.mark.parametrize("sizes", [{"dictionary": 4, "cache": 5, "shard": 30}, {"cache": 0, "route": 1, "shard": 50}, {}])
+def test_query_against_brute_force(spark, sizes):
     rows = texts()
-    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(rows)], "doc_id long, text string, n int")
+    docs = spark.createDataFrame([(i, t, 1, 2, "g") for i, t in enumerate(rows)], "doc_id long, text string, n int, _row int, g string")
     train = [t for i, t in enumerate(rows) if zlib.crc32(str(i).encode()) % 10]
     tok = lambda t: [*(t or "").encode().lower().split(), b"\n"]
     count = Counter(w for t in train for w in tok(t))
     n, v = sum(count.values()), len(count)
-    for r in lm.scores(docs, dictionary=dictionary).collect():
+    for r in lm.scores(docs, **sizes).collect():
         w = tok(rows[r.doc_id])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0, len(w), sum(x in count for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel=1e-9)
@@ -62,13 +62,32 @@ def test_query_against_brute_force(spark, tmp_path, dictionary):
 
 def test_probabilities_sum_to_one(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc_id long, text string")
-    trie = lm.Trie(lm.bounded_trie(lm.train_counts(docs, 5)[1], 5, 400))
-    assert sum(len(c) for c in trie.codes) <= 400
+    counts = lm.train_counts(docs, 5)[1]
+    rows = np.array(counts.collect(), np.int64)
+    trie = lm.trie(lm.low_orders(counts, 3), rows[:, 0].astype(np.uint64), rows[:, 1], 5)
     for ctx in (b"\n\n\n\n\n", b"e the", b"zzzzz", b" abcd", b"aaaaa"):
         codes = np.uint64(int.from_bytes(ctx, "big") << 8) + np.arange(256, dtype=np.uint64)
         assert (10 ** trie.logs(codes)).sum() == pytest.approx(1, abs=1e-9)
 
 
+def test_the_most_frequent_rows(spark):
+    n = [1, 1, 1, 2, 2, 5, 70, 70, 9000]
+    df = spark.createDataFrame([(x,) for x in n], "n long")
+    for most in range(len(n) + 1):
+        got = sorted(r.n for r in df.filter(lm.frequent(df, most)).collect())
+        assert len(got) <= most and got == n[len(n) - len(got) :]
+    assert df.filter(lm.frequent(df, 3)).count() == 3 and df.filter(lm.frequent(df, 2)).count() == 1
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abcd", k=4)) for _ in range(60_000))
+    rows = [(1, text), (2, text), (3, "abcd " * 100)]
+    got = {r.doc_id: r for r in lm.scores(spark.createDataFrame(rows, "doc_id long, text string"), cache=100).collect()}
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    assert got[1].score == got[2].score == pytest.approx(brute_ppm(train, text, lm.ORDER), rel=1e-9)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.scores(docs).collect() == []
