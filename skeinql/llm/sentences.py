@@ -18,10 +18,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import appended, stored, table
+from ._shared import appended, named, plain, stored, table
 
-SENTENCES, WORDS = 3, 20
-LONG, CUT = 40, 8
+SENTENCES, WORDS = 2, 20
+LONG, CUT = 16, 4
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*|[.!?]+")
 WORD = re.compile(r"\S+")
 
@@ -130,18 +130,20 @@ def without(text: str, cuts: list[int]) -> str:
 
 
 def deduplicated(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """docs (the same columns) with the sentences that repeat others' taken out of text. Repeated rows
-    (doc_id and text) can't be told apart, so of those the one with the fewest cuts speaks for all."""
-    names, kinds = docs.columns, dict(docs.dtypes)
+    """docs (the same columns, whatever their names) with the sentences that repeat others' taken out
+    of text. Repeated rows (doc_id and text) can't be told apart, so of those the one with the fewest
+    cuts speaks for all. Nulls and empty tables as in removals()."""
     cuts = removals(docs, sentences, words).select(F.xxhash64("doc_id", "_key").alias("_at"), "_cuts", F.size("_cuts").alias("n"))
     cuts = stored(cuts.groupBy("_at").agg(F.min_by("_cuts", "n").alias("_cuts")).filter(F.size("_cuts") > 0), "cuts")
 
     def start() -> Callable[[list], list[list]]:
         return lambda rows: [[without(r["text"], r["cuts"]) if r["cuts"] else r["text"] for r in rows]]
 
-    out = docs.withColumn("_at", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))).join(cuts, "_at", "left")
-    out = appended(out.withColumn("_both", F.struct(F.col("text").cast("string").alias("text"), F.col("_cuts").alias("cuts"))).drop("text", "_cuts"), "_both", "_kept string", start)
-    return out.withColumn("text", F.col("_kept").cast(kinds["text"])).select(*names)
+    own, name = plain(docs)
+    text = F.col(name["text"]).cast("string")
+    out = own.withColumn("_at", F.xxhash64(F.col(name["doc_id"]).cast("long"), F.xxhash64(text))).join(cuts, "_at", "left")
+    out = out.withColumn("_both", F.struct(text.alias("text"), F.col("_cuts").alias("cuts"))).drop(name["text"], "_cuts")
+    return named(appended(out, "_both", "_kept string", start, keep=False).withColumnRenamed("_kept", name["text"]), docs)
 
 
 def op4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

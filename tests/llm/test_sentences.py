@@ -22,7 +22,7 @@ ROWS = [
 ]
 
 
-def brute(rows, n=3, words=20):
+def brute(rows, n=S.SENTENCES, words=S.WORDS):
     all_ = [S.cut(t or "") for _, t, _ in rows]
     key = lambda r: (rows[r][0] is None, rows[r][0] or 0, r)
     seen, gone = set(), [set() for _ in rows]
@@ -40,7 +40,7 @@ def brute(rows, n=3, words=20):
 
 
 def rows_of(spark, rows):
-    return spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, _row int").drop("_row").coalesce(1)
+    return spark.createDataFrame([(*r, 5, "at", "cuts") for r in rows], "doc_id long, text string, source string, _row int, _at string, _cuts string").coalesce(1)
 
 
 def test_query_against_brute_force(spark, tmp_path):
@@ -53,8 +53,26 @@ def test_query_against_brute_force(spark, tmp_path):
 
 
 def test_the_first_stays_and_others_go(spark):
-    out = {r.doc_id: r.text for r in S.deduplicated(rows_of(spark, ROWS)).collect()}
+    rows = S.deduplicated(rows_of(spark, ROWS)).collect()
+    assert {(r["_row"], r["_at"], r["_cuts"]) for r in rows} == {(5, "at", "cuts")}
+    out = {r.doc_id: r.text for r in rows}
     assert out[1] == ROWS[1][1] and out[3] == "Opening words here. The end of three." and out[7] == ROWS[6][1]
     assert out[9].strip() == "" and out[None] == "" and out[2] is None and out[6] == ROWS[5][1]
     assert 50 <= len(re.findall(r"bare\d", ROWS[7][1])) - len(re.findall(r"bare\d", out[8]))
     assert S.deduplicated(rows_of(spark, ROWS).limit(0)).collect() == []
+
+
+def test_passages_at_random_places_are_caught(spark):
+    """Passages of 55 words, cut from anywhere, that another text has too."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(3, 8)))
+    text = lambda n: " ".join(word() + (rng.choice(".!?") if rng.random() < 0.1 else "") for _ in range(n)).split()
+    rows, source = [], [text(400) for _ in range(100)]
+    rows += [(i, " ".join(w), "s") for i, w in enumerate(source)]
+    for i, w in enumerate(source):
+        at, to = rng.randrange(300), rng.randrange(60)
+        own = text(100)
+        rows.append((1000 + i, " ".join(own[:to] + w[at : at + 55] + own[to:]), "s"))
+    rows += [(2000 + i, " ".join(text(150)), "s") for i in range(100)]
+    hit = {r.doc_id for r in S.removals(rows_of(spark, rows)).collect() if r.n_spans}
+    assert not any(i < 1000 or i >= 2000 for i in hit) and len(hit) >= 95
