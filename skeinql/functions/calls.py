@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalars import col
@@ -24,8 +24,11 @@ class Call:
     name: str
     returns: str
     f: Callable = field(compare=False)
+    grouped: bool = False
 
     def __call__(self, *args: Column | str) -> Column:
+        if self.grouped:
+            return F.pandas_udf(self.f, self.returns, F.PandasUDFType.GROUPED_AGG)(*(col(a) for a in args))
         f = self.f if args else lambda like: pd.Series([self.f()] * len(like))
         return F.pandas_udf(f, self.returns, F.PandasUDFType.SCALAR)(*([col(a) for a in args] or [F.lit(0)]))
 
@@ -55,3 +58,21 @@ def partial(*cases: tuple[Column, object]) -> Column:
 def defined_at(m: Column | str, key: Column) -> Column:
     """Whether a map column has the key."""
     return F.coalesce(F.map_contains_key(col(m), key), F.lit(False))
+
+
+def fold_call(name: str, returns: str, f: Callable[..., object]) -> Call:
+    """An aggregate of the host language: f takes the Series of a group and returns one value. A group
+    is held whole, so built-in aggregates are to be preferred."""
+    return Call(name, returns, f, grouped=True)
+
+
+@dataclass(frozen=True)
+class TableCall:
+    """A table function: f takes batches (pandas DataFrames) of a partition's rows and yields batches."""
+
+    name: str
+    schema: str
+    f: Callable = field(compare=False)
+
+    def over(self, df: DataFrame) -> DataFrame:
+        return df.mapInPandas(self.f, self.schema)

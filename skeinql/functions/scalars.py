@@ -80,8 +80,8 @@ def guarded(condition: Column, then: Column, otherwise: object = False) -> Colum
 
 
 def letting(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once in a plan."""
-    return body(value)
+    """body of a value that is computed once, however often body takes it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 # Options are nullable columns.
@@ -110,20 +110,74 @@ def option_filter(c: Column | str, p: Callable[[Column], Column]) -> Column:
     return F.when(col(c).isNotNull() & p(col(c)), col(c))
 
 
-# Collections in a column are arrays.
+# Collections in a column are arrays. Folds of a named array remember it, so that those of a group's
+# elements can be aggregates instead (Query.map).
+
+
+def _folds(c: Column, over: Column | str, fold: Callable[[Column, bool], Column]) -> Column:
+    """c, marked as a fold of the array of that name. fold: the aggregate of an element, of different
+    elements only if so said."""
+    if isinstance(over, str):
+        c.__dict__["_fold"] = over, fold
+    return c
+
+
+def _unless_null(v: Column, of: Column) -> Column:
+    """An aggregate that is null if an element is, as a fold over a list is."""
+    return F.when(F.count(v) == F.count(F.lit(1)), of)
+
+
+def size(a: Column | str) -> Column:
+    return _folds(F.size(col(a)), a, lambda v, distinct: (F.count_distinct(F.struct(v)) if distinct else F.count(F.lit(1))).cast("int"))
 
 
 def exists(a: Column | str, p: Callable[[Column], Column]) -> Column:
     """Stops at the first element that satisfies p; an empty or null array has none."""
-    return F.coalesce(F.exists(col(a), p), F.lit(False))
+    return _folds(F.coalesce(F.exists(col(a), p), F.lit(False)), a, lambda v, _: F.coalesce(F.bool_or(p(v)), F.lit(False)))
 
 
 def forall(a: Column | str, p: Callable[[Column], Column]) -> Column:
-    return F.coalesce(F.forall(col(a), p), F.lit(True))
+    return _folds(F.coalesce(F.forall(col(a), p), F.lit(True)), a, lambda v, _: F.coalesce(F.bool_and(p(v)), F.lit(True)))
+
+
+def filtered(a: Column | str, p: Callable[[Column], Column]) -> Column:
+    out = F.filter(col(a), p)
+    out.__dict__["_filtered"] = a, p
+    return out
 
 
 def is_empty(a: Column | str) -> Column:
-    return F.coalesce(F.size(col(a)), F.lit(0)) <= 0
+    """Of a filtered array: stops at the first element that is left."""
+    if isinstance(a, Column) and (parts := a.__dict__.get("_filtered")):
+        return ~exists(*parts)
+    return _folds(F.coalesce(F.size(col(a)), F.lit(0)) <= 0, a, lambda v, _: F.count(F.lit(1)) == 0)
+
+
+#: Comparisons by their signs.
+COMPARE: dict[str, Callable] = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
+
+
+def asks_emptiness(op: str, n: int) -> bool | None:
+    """Whether a comparison of a size with n holds for empty collections alone (True) or for all others
+    alone (False); None if it asks for more."""
+    if (op, n) in ((">", 0), (">=", 1), ("!=", 0)):
+        return False
+    return True if (op, n) in (("==", 0), ("<", 1), ("<=", 0)) else None
+
+
+def sized(a: Column | str, op: str, n: int) -> Column:
+    """A comparison of an array's size, by emptiness where that is all it asks."""
+    empty = asks_emptiness(op, n)
+    if empty is None:
+        return COMPARE[op](F.greatest(F.coalesce(F.size(col(a)), F.lit(0)), F.lit(0)), n)
+    return is_empty(a) if empty else ~is_empty(a)
+
+
+def sorted_(a: Column | str) -> Column:
+    """Ascending, nulls first."""
+    out = F.sort_array(col(a))
+    out.__dict__["_sorted"] = a
+    return out
 
 
 def at(a: Column | str, i: int) -> Column:
@@ -140,11 +194,14 @@ def last(a: Column | str) -> Column:
 
 
 def head_option(a: Column | str) -> Column:
-    return F.get(col(a), F.lit(0))
+    """Of a sorted group's elements: their minimum."""
+    over = a.__dict__.get("_sorted") if isinstance(a, Column) else None
+    return _folds(F.get(col(a), F.lit(0)), over, lambda v, _: _unless_null(v, F.min(v)))
 
 
 def last_option(a: Column | str) -> Column:
-    return F.try_element_at(col(a), F.lit(-1))
+    over = a.__dict__.get("_sorted") if isinstance(a, Column) else None
+    return _folds(F.try_element_at(col(a), F.lit(-1)), over, lambda v, _: F.max(v))
 
 
 def fold_left(a: Column | str, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
@@ -152,11 +209,15 @@ def fold_left(a: Column | str, zero: Column, op: Callable[[Column, Column], Colu
 
 
 def array_sum(a: Column | str, kind: str = "long") -> Column:
-    return F.aggregate(col(a), F.lit(0).cast(kind), lambda x, y: x + y.cast(kind))
+    total = lambda v, distinct: _unless_null(v, (F.sum_distinct if distinct else F.sum)(v.cast(kind)).cast(kind))
+    return _folds(F.aggregate(col(a), F.lit(0).cast(kind), lambda x, y: x + y.cast(kind)), a, total)
 
 
 def array_product(a: Column | str, kind: str = "double") -> Column:
-    return F.aggregate(col(a), F.lit(1).cast(kind), lambda x, y: x * y.cast(kind))
+    out = F.aggregate(col(a), F.lit(1).cast(kind), lambda x, y: x * y.cast(kind))
+    if kind != "double":
+        return out
+    return out if not isinstance(a, str) else _folds(out, a, lambda v, distinct: F.aggregate(F.collect_set(v), F.lit(1.0), lambda x, y: x * y.cast(kind)) if distinct else _unless_null(v, F.product(v.cast(kind))))
 
 
 def sliding(a: Column | str, n: int) -> Column:
@@ -178,3 +239,14 @@ def unzip(a: Column | str) -> Column:
 def int_range(a: Column, b: Column) -> Column:
     """a until b; empty unless a < b."""
     return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.slice(F.sequence(a, a), 1, 0))
+
+
+def wrapped(c: Column | str, kind: str = "int") -> Column:
+    """A long sum or product as a machine integer of the host language keeps it: its low bits."""
+    bits = 32 if kind == "int" else 64
+    return col(c) if bits == 64 else (F.pmod(col(c) + (1 << 31), F.lit(1 << 32)) - (1 << 31)).cast("int")
+
+
+def to_iterable(c: Column | str) -> Column:
+    """An option as a collection of none or one."""
+    return F.when(col(c).isNull(), F.slice(F.array(col(c)), 1, 0)).otherwise(F.array(col(c)))

@@ -6,20 +6,27 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the session's spark.checkpoint.dir (set here where it is unset) and read again."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of the session in spark.checkpoint.dir. Where that is unset, a temporary folder is set
+    on a single machine; on a cluster it is an error, as executors wouldn't share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="skeinql-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/round-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fixpoint(start: DataFrame, f: Callable[[DataFrame], DataFrame], rounds: int = 1000) -> DataFrame:
@@ -35,15 +42,21 @@ def fixpoint(start: DataFrame, f: Callable[[DataFrame], DataFrame], rounds: int
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
     """edges: two columns (from, to). All pairs that a path of one or more edges connects. Semi-naive:
-    a round joins only the pairs that were new in the round before. Nulls meet nulls; cycles end."""
+    a round joins only the pairs that were new in the round before, and adds a folder of its own. Nulls meet nulls; cycles end."""
     a, b = edges.columns
-    step = kept(edges.distinct()).select(F.col(a).alias("_x"), F.col(b).alias("_y"))
-    known = new = kept(edges.distinct())
+    spark, folder, rounds = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/closure-{uuid.uuid4().hex}", []
+
+    def add(df: DataFrame) -> DataFrame:
+        rounds.append(f"{folder}/{len(rounds)}")
+        df.write.parquet(rounds[-1])
+        return spark.read.schema(edges.schema).parquet(rounds[-1])
+
+    new = first = add(edges.distinct())
+    step = first.select(F.col(a).alias("_x"), F.col(b).alias("_y"))
     while not new.isEmpty():
         longer = new.join(step, F.col(b).eqNullSafe(F.col("_x"))).select(F.col(a), F.col("_y").alias(b))
-        new = kept(longer.subtract(known))
-        known = kept(known.unionByName(new))
-    return known
+        new = add(longer.subtract(spark.read.schema(edges.schema).parquet(*rounds)))
+    return spark.read.schema(edges.schema).parquet(*rounds)
 
 
 def descendants(closure: DataFrame, of: object) -> DataFrame:

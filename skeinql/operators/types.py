@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skeinql.plans.query import Query
+from skeinql.plans.index import Indexes
+from skeinql.plans.query import Among, Query
 
 
 class Hierarchy:
@@ -18,13 +19,16 @@ class Hierarchy:
         for child, parent in edges:
             self.parents.setdefault(child, set()).add(parent)
             self.parents.setdefault(parent, set())
+        self.children: dict[str, list[str]] = {}
+        for child, parents in self.parents.items():
+            for parent in parents:
+                self.children.setdefault(parent, []).append(child)
 
     def subtypes(self, name: str) -> list[str]:
         """The type itself and all below it."""
         out, todo = {name}, [name]
         while todo:
-            up = todo.pop()
-            new = {c for c, ps in self.parents.items() if up in ps} - out
+            new = set(self.children.get(todo.pop(), ())) - out
             out |= new
             todo += new
         return sorted(out)
@@ -38,17 +42,20 @@ class Hierarchy:
 
     def if_instance(self, tag: Column, name: str, payload: Column) -> Column:
         """The payload, or null where the row is of another type."""
-        return F.when(self.is_instance(tag, name), payload)
+        out = F.when(self.is_instance(tag, name), payload)
+        out.__dict__["_instance"] = self.is_instance(tag, name)
+        return out
 
     def as_instance(self, tag: Column, name: str, payload: Column) -> Column:
         """The payload; an error where the row is of another type. A null tag passes as null."""
         wrong = F.raise_error(F.concat(F.lit("not a "), F.lit(name), F.lit(": "), tag))
-        return F.when(tag.isNull() | self.is_instance(tag, name), payload).otherwise(wrong.cast("string"))
+        return F.when(tag.isNull() | self.is_instance(tag, name), payload).otherwise(wrong)
 
 
 def type_filter(q: Query, tag: str, name: str, types: Hierarchy) -> Query:
-    """Rows of the type or one below it: a filter on the tag, so that tables in partitions of it are pruned."""
-    return q.filter(F.col(tag).isin(*types.subtypes(name)))
+    """Rows of the type or one below it, as told by a tag (SQL text): a filter that reaches the scan,
+    and that a type index answers."""
+    return q.filter(Among(tag, tuple(types.subtypes(name))))
 
 
 def type_case(q: Query, tag: str, types: Hierarchy, *cases: tuple[str, Column, Column], name: str = "value") -> Query:
@@ -62,13 +69,12 @@ def type_case(q: Query, tag: str, types: Hierarchy, *cases: tuple[str, Column, C
 
 
 class TypeIndex:
-    """Rows stored in partitions of their tag: get() reads those of a type and the types below it."""
+    """Rows stored by their tag: get() reads those of a type and the types below it. It is an index on
+    the tag, so that Indexes.optimize() puts one of its own in place of a type filter likewise."""
 
     def __init__(self, q: Query, tag: str, types: Hierarchy, path: str):
-        self.tag, self.types = tag, types
-        spread = F.pmod(F.xxhash64(*q.df.columns[:1]), F.lit(8))
-        q.df.filter(F.col(tag).isNotNull()).repartition(tag, spread).write.mode("overwrite").partitionBy(tag).parquet(path)
-        self.frame: DataFrame = q.frame.sparkSession.read.schema(q.df.schema).parquet(path).select(*q.df.columns)
+        self.q, self.tag, self.types, self.indexes = q, tag, types, Indexes(path)
+        self.indexes.add("types", q, tag)
 
     def get(self, name: str) -> Query:
-        return Query(self.frame.filter(F.col(self.tag).isin(*self.types.subtypes(name))))
+        return self.indexes.optimize(type_filter(self.q, self.tag, name, self.types))

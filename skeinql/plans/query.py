@@ -8,78 +8,97 @@ asked for, so that an index on the structure can be found whatever filters stand
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinql.functions import scalars
 from skeinql.functions.scalars import col
 
+if TYPE_CHECKING:
+    from skeinql.functions.calls import TableCall
+
 KINDS = ("bag", "set", "seq", "map")
 
 
 @dataclass(frozen=True)
 class Step:
-    """Part of a query's structure. Equal keys mean equal steps."""
+    """Part of a query's structure."""
 
-    key: tuple
     apply: Callable[[DataFrame], DataFrame] = field(compare=False, repr=False)
 
 
 @dataclass(frozen=True)
 class Equals:
-    """A conjunct expression == value that an index can answer. The expression is SQL text, and is
-    compared as the columns it parses to, with the operands of + and * in order."""
+    """A conjunct expression == value that an index can answer. The expression is SQL text."""
 
     expression: str
     value: object
 
+    @property
+    def values(self) -> tuple:
+        return (self.value,)
+
     def column(self) -> Column:
         return F.expr(self.expression).eqNullSafe(F.lit(self.value))
 
-    def key(self) -> str:
-        return normal(self.expression)
-
 
-def normal(expression: str) -> str:
-    """Text that is equal for expressions which differ in blanks, outer brackets and the order of + or *."""
-    text = " ".join(expression.split())
-    while text.startswith("(") and _closes(text) == len(text) - 1:
-        text = text[1:-1].strip()
-    for op in ("+", "*"):
-        parts = _split(text, op)
-        if len(parts) > 1:
-            return f" {op} ".join(sorted(normal(p) for p in parts))
-    return text
-
-
-def _closes(text: str) -> int:
-    depth = 0
-    for i, c in enumerate(text):
-        depth += (c == "(") - (c == ")")
-        if not depth:
-            return i
-    return -1
+@dataclass(frozen=True)
+class Among:
+    """A conjunct that expression is one of some values, as a type filter is; an index can answer it."""
 
+    expression: str
+    values: tuple
 
-def _split(text: str, op: str) -> list[str]:
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(text):
-        depth += (c == "(") - (c == ")")
-        if c == op and not depth:
-            out.append(text[start:i].strip())
-            start = i + 1
-        elif c in "-/%'" and not depth:
-            return [text]
-    return [*out, text[start:].strip()]
+    def column(self) -> Column:
+        e = F.expr(self.expression)
+        known = e.isin([v for v in self.values if v is not None])
+        return known | e.isNull() if None in self.values else known
 
 
-Condition = Column | str | Equals
+@dataclass(frozen=True)
+class Grouping:
+    """What a map of groups was made of: as long as only folds of the elements are asked for, they
+    are aggregates of it, and no list of a group is made."""
+
+    df: DataFrame
+    key: dict
+    value: Column
+    name: str
+    distinct: bool
+
+    def aggregate(self, c: Column | str) -> Column | None:
+        """The aggregate that a column over the lists stands for; None if there is none."""
+        text = c if isinstance(c, str) else repr(c)[len("Column<'") : -len("'>")]
+        if re.fullmatch(rf"size\({re.escape(self.name)}\)", text.strip()):
+            c = scalars.size(self.name)
+        over, fold = c.__dict__.get("_fold", (None, None)) if isinstance(c, Column) else (None, None)
+        return fold(self.value, self.distinct) if over == self.name else None
+
+    def fused(self, columns: Sequence[Column | str], named: dict[str, Column | str]) -> DataFrame | None:
+        wanted = [(c, c) if isinstance(c, str) else (None, c) for c in columns] + list(named.items())
+        out, aggregates = [], []
+        for name, c in wanted:
+            if isinstance(c, str) and c in self.key:
+                out.append(F.col(c).alias(name))
+            elif name is not None and (a := self.aggregate(c)) is not None:
+                aggregates.append(a.alias(f"_fold{len(out)}"))
+                out.append(F.col(f"_fold{len(out)}").alias(name))
+            else:
+                return None
+        keys = [(F.expr(k) if isinstance(k, str) else k).alias(n) for n, k in self.key.items()]
+        return self.df.groupBy(*keys).agg(*aggregates).select(*out) if aggregates else None
+
+
+Condition = Column | str | Equals | Among
 
 
 def condition(c: Condition) -> Column:
-    return c.column() if isinstance(c, Equals) else F.expr(c) if isinstance(c, str) else c
+    return c.column() if isinstance(c, Equals | Among) else F.expr(c) if isinstance(c, str) else c
 
 
 @dataclass(frozen=True)
@@ -90,6 +109,7 @@ class Query:
     steps: tuple[Step, ...] = ()
     conjuncts: tuple[Condition, ...] = ()
     order: Sequence[str | Column] | None = None
+    grouping: Grouping | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -123,18 +143,18 @@ class Query:
 
     def unnest(self, array: str, alias: str) -> Query:
         """A row for each element of an array column; rows with none vanish."""
-        step = Step(("unnest", normal(array), alias), lambda df: df.withColumn(alias, F.explode(F.expr(array))))
+        step = Step(lambda df: df.withColumn(alias, F.explode(F.expr(array))))
         return replace(self, steps=(*self.steps, step))
 
     def let(self, name: str, value: Column | str) -> Query:
         value_column = F.expr(value) if isinstance(value, str) else value
-        step = Step(("let", name, normal(value) if isinstance(value, str) else object()), lambda df: df.withColumn(name, value_column))
+        step = Step(lambda df: df.withColumn(name, value_column))
         return replace(self, steps=(*self.steps, step))
 
     def join(self, inner: Query, outer_key: str, inner_key: str) -> Query:
         """Equi join; a null key meets a null key, and rows without a partner vanish."""
         keys = (F.expr(outer_key), F.expr(inner_key))
-        step = Step(("join", inner.name or object(), inner.steps, tuple(map(repr, inner.conjuncts)), normal(outer_key), normal(inner_key)), lambda df: _met(df, inner.df, keys, "inner"))
+        step = Step(lambda df: _met(df, inner.df, keys, "inner"))
         return replace(self, steps=(*self.steps, step), kind="bag" if self.kind == "map" else self.kind)
 
     # Products and quantifiers over another query
@@ -152,6 +172,16 @@ class Query:
     def not_exists(self, other: Query, *on: Column | str) -> Query:
         return self._made(self.df.join(other.df, _all(on), "left_anti"), duplicates=False)
 
+    def counted_by(self, other: Query, op: str, n: int, *on: Column | str) -> Query:
+        """Rows for which the number of rows of other that satisfy on compares with n. Comparisons that
+        only ask whether there is one are semi and anti joins; the others count by the row itself."""
+        if scalars.asks_emptiness(op, n) is not None:
+            return self.not_exists(other, *on) if scalars.asks_emptiness(op, n) else self.exists(other, *on)
+        own = self.df.withColumn("_row", F.struct(*self.df.columns))
+        counts = own.distinct().join(other.df.withColumn("_met", F.lit(1)), _all(on), "left").groupBy("_row").agg(F.count("_met").alias("_n"))
+        holds = counts.filter(scalars.COMPARE[op](F.col("_n"), F.lit(n))).select(F.col("_row").alias("_held"))
+        return self._made(own.join(holds, F.col("_row").eqNullSafe(F.col("_held")), "left_semi").drop("_row"), duplicates=False)
+
     def forall(self, other: Query, satisfies: Column | str, *on: Column | str) -> Query:
         """Rows for which every row of other that satisfies on also satisfies the condition; an
         unknown condition isn't satisfied."""
@@ -170,16 +200,26 @@ class Query:
     # Projection
 
     def map(self, *columns: Column | str, kind: str | None = None, **named: Column | str) -> Query:
+        kind = kind or ("bag" if self.kind == "map" else self.kind)
+        if self.grouping and not self.steps and not self.conjuncts and (fused := self.grouping.fused(columns, named)) is not None:
+            return self._made(fused, kind)
         df = self.df.select(*(F.expr(c) if isinstance(c, str) else c for c in columns), *((F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in named.items()))
-        return self._made(df, kind or ("bag" if self.kind == "map" else self.kind))
+        return self._made(df, kind)
+
+    def table_map(self, call: TableCall) -> Query:
+        """A function from the rows of a partition to rows, in batches."""
+        return self._made(call.over(self.df), "bag" if self.kind in ("map", "seq") else None)
 
     def flat_map(self, alias: str, array: Column, *keep: str) -> Query:
         """A row for each element that an expression gives."""
         return self._made(self.df.select(*keep, F.explode(array).alias(alias)), "bag" if self.kind == "map" else None)
 
     def collect(self, value: Column | str, name: str) -> Query:
-        """A partial map: rows for which it has a value."""
-        return self._made(self.df.select((F.expr(value) if isinstance(value, str) else value).alias(name)).filter(F.col(name).isNotNull()), "bag" if self.kind == "map" else None)
+        """A partial map: rows for which it has a value. That of a safe cast filters by type first, so
+        that the filter reaches the scan or a type index."""
+        column = F.expr(value) if isinstance(value, str) else value
+        q = self.filter(instance) if (instance := column.__dict__.get("_instance")) is not None else self
+        return q._made(q.df.select(column.alias(name)).filter(F.col(name).isNotNull()), "bag" if self.kind == "map" else None)
 
     # Kinds
 
@@ -193,8 +233,11 @@ class Query:
         return replace(self, kind="seq", order=order)
 
     def to_map(self, key: str) -> Query:
-        """One row for each key; which one, of several, is not determined."""
-        return Query(self.df.dropDuplicates([key]), "map")
+        """One row for each key: the last, of a seq; of other kinds which one is not determined."""
+        if not self.order:
+            return Query(self.df.dropDuplicates([key]), "map")
+        back = Window.partitionBy(key).orderBy(*(col(o).desc() for o in self.order))
+        return Query(self.df.withColumn("_at", F.row_number().over(back)).filter("_at = 1").drop("_at"), "map")
 
     def view(self) -> Query:
         """Queries are lazy already."""
@@ -202,7 +245,7 @@ class Query:
 
     def force(self) -> Query:
         """The rows so far, computed once and kept while the session lasts."""
-        return replace(self, frame=self.df.persist(), name=None, steps=(), conjuncts=())
+        return replace(self, frame=self.df.persist(), name=None, steps=(), conjuncts=(), grouping=None)
 
     # Sets and bags
 
@@ -238,9 +281,10 @@ class Query:
         return self.group_by_sel(F.struct(*self.df.columns), "elements", **key)
 
     def group_by_sel(self, value: Column | str, name: str, **key: Column | str) -> Query:
-        v = F.struct((F.expr(value) if isinstance(value, str) else value).alias("v"))
+        element = F.expr(value) if isinstance(value, str) else value
         gather = F.collect_set if self.kind == "set" else F.collect_list
-        return Query(self._grouped(key).agg(F.transform(gather(v), lambda x: x["v"]).alias(name)), "map")
+        lists = self._grouped(key).agg(F.transform(gather(F.struct(element.alias("v"))), lambda x: x["v"]).alias(name))
+        return Query(lists, "map", grouping=Grouping(self.df, key, element, name, self.kind == "set"))
 
     def group(self, *aggregates: Column, **key: Column | str) -> Query:
         """Groups of which only aggregates are wanted: lists of elements are never made."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -82,6 +82,38 @@ def grouped(changes: DataFrame, keys: Sequence[str], **sums: str) -> DataFrame:
     return changes.groupBy(*keys).agg(F.sum(MULT).alias("n"), *aggregates).filter("n <> 0")
 
 
+def unnested(changes: DataFrame, array: str, alias: str) -> DataFrame:
+    """Changes of a collection's elements: a row that comes or goes brings or takes each of them."""
+    return changes.withColumn(alias, F.explode(F.expr(array)))
+
+
+def _by(df: DataFrame, keys: Sequence[str], other: DataFrame, how: str) -> DataFrame:
+    """A join on keys of the same names, where nulls are equal, that adds no column."""
+    there = other.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return df.join(there, on, how)
+
+
+def not_exists_delta(left: DataFrame, right: DataFrame, d_left: DataFrame, d_right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Change of "rows of left whose keys right hasn't", from the multisets before and the changes of
+    both sides. Only rows of keys that right's change touches are looked at again."""
+    counts = lambda df: net(df.select(*keys, MULT))
+    before, after = counts(right).filter(f"{MULT} > 0"), counts(right.unionByName(d_right)).filter(f"{MULT} > 0")
+    touched = _by(left, keys, d_right, "left_semi")
+    now = net(touched.unionByName(d_left))
+    return net(_by(now, keys, after, "left_anti").unionByName(reset(_by(touched, keys, before, "left_anti"))))
+
+
+def fold_delta(before: DataFrame, changes: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """Change of a fold by key that no sum can undo (a minimum, a set): the keys that the changes touch
+    are folded again, and the old result goes as the new one comes. before: the multiset."""
+    touched = _by(before, keys, changes, "left_semi")
+    fold = lambda view: expanded(view).groupBy(*keys).agg(*aggregates)
+    return net(include(fold(net(touched.unionByName(changes)))).unionByName(remove(fold(net(touched)))))
+
+
 class MaintainedView:
     """The multiset of a stream of changes, held in a table: each batch's net change is merged into the
     view before, and written as a new version. Versions are named by batch, so a batch that runs again
@@ -89,20 +121,33 @@ class MaintainedView:
 
     def __init__(self, path: str, transform: Callable[[DataFrame], DataFrame] = lambda changes: changes):
         self.path, self.transform = path.rstrip("/"), transform
-        self.latest: int | None = None
+
+    def versions(self, spark: SparkSession) -> list[int]:
+        """The batches whose versions are complete, whoever wrote them."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return []
+        named = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("version=")]
+        return sorted(int(p.getName().partition("=")[2]) for p in named if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
     def merge(self, changes: DataFrame, batch: int) -> None:
-        new = self.transform(changes)
-        if batch:
-            old = changes.sparkSession.read.schema(new.schema).parquet(f"{self.path}/version={batch - 1}")
-            new = old.unionByName(new)
+        """The last two versions stay: the one before is what a batch that runs again starts from."""
+        spark, new = changes.sparkSession, self.transform(changes)
+        known = self.versions(spark)
+        if older := [v for v in known if v < batch]:
+            new = spark.read.schema(new.schema).parquet(f"{self.path}/version={older[-1]}").unionByName(new)
         net(new).write.mode("overwrite").parquet(f"{self.path}/version={batch}")
-        self.latest = batch
+        for v in older[:-1]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={v}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     def start(self, changes: DataFrame, checkpoint: str, **trigger: object) -> StreamingQuery:
         return changes.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
-    def read(self, spark) -> DataFrame:
-        if self.latest is None:
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The newest complete version, after a restart too."""
+        known = self.versions(spark)
+        if not known:
             raise ValueError("no batch has been merged yet")
-        return spark.read.parquet(f"{self.path}/version={self.latest}")
+        return spark.read.parquet(f"{self.path}/version={known[-1]}")

@@ -22,6 +22,8 @@ def test_view_follows_a_stream(spark, tmp_path):
         q.awaitTermination(120)
         assert rows(views.expanded(view.read(spark))) == [(y,) for y in now]
     assert rows(views.as_set(view.read(spark))) == [(10,), (20,), (30,), (40,)]
+    again = views.MaintainedView(f"file://{tmp_path}/view")
+    assert rows(views.as_set(again.read(spark))) == [(10,), (20,), (30,), (40,)] and again.versions(spark) == [1, 2]
 
 
 def test_joins_and_folds_of_changes(spark):
@@ -35,3 +37,18 @@ def test_joins_and_folds_of_changes(spark):
     assert rows(views.net(after.unionByName(views.reset(after)))) == []
     with pytest.raises(Exception, match="no such change"):
         views.from_log(spark.createDataFrame([("put", 1)], "op string, x int")).collect()
+
+
+def test_negation_and_folds_that_no_sum_undoes(spark):
+    of = lambda schema, *r: spark.createDataFrame(list(r), schema)
+    left, right = views.include(of("k int, v string", (1, "a"), (2, "b"), (None, "n"), (4, "d"))), views.include(of("k int", (1,), (1,), (None,), (9,)))
+    d_left = views.remove(of("k int, v string", (4, "d"))).unionByName(views.include(of("k int, v string", (5, "e"), (9, "i"))))
+    d_right = views.remove(of("k int", (1,), (None,))).unionByName(views.include(of("k int", (2,))))
+    d = views.not_exists_delta(left, right, d_left, d_right, ["k"])
+    key = lambda r: str(r)
+    assert sorted(map(tuple, d.collect()), key=key) == sorted([(2, "b", -1), (None, "n", 1), (4, "d", -1), (5, "e", 1)], key=key)
+    base = views.include(of("k string, v int", ("a", 1), ("a", 2), ("b", 5), ("c", 7)))
+    change = views.remove(of("k string, v int", ("a", 1), ("b", 5))).unionByName(views.include(of("k string, v int", ("d", 3))))
+    assert rows(views.fold_delta(base, change, ["k"], F.min("v").alias("least"))) == [("a", 1, -1), ("a", 2, 1), ("b", 5, -1), ("d", 3, 1)]
+    arrays = views.remove(of("a array<int>", ([1, 2, 2],)))
+    assert rows(views.net(views.unnested(arrays, "a", "x").select("x", views.MULT))) == [(1, -1), (2, -2)]
