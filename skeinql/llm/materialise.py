@@ -1,13 +1,13 @@
-"""Training-order materialisation of token ids in binary shards.
-
-Documents are packed into sequences of `length` ids, and a keyed Feistel permutation gives each sequence
-its global slot, in two levels. On the whole 64-bit range of sequence ids it picks the range partition,
-the shard, so that rows are moved once, straight to their shard, before anyone knows how many there are.
-Within a shard of n sequences the permutation of the least even number of bits that holds n, walked
-along its cycle until it is below n, gives the place. A shard's first slot is the number of sequences
-in the shards before it. Each slot is length ids of 2 or 4 bytes (little-endian), padded with `pad`, so
-that a reader can start at any slot and read on. Names and bytes of shards depend on nothing but the
-rows, so a task that runs again writes the same file.
+"""Training-order materialisation of token ids in fixed-stride binary shards.
+
+Documents are packed into sequences of `length` ids, which are stored once; a sequence's index is its
+partition's first index and its place there. With n sequences in all, a keyed Feistel permutation of the
+least even number of bits that holds n, walked along its cycle until it is below n, gives the index its
+global slot, and gives it back. Shard k holds the slots from k * stride on, `stride` of them but in the
+last, each of `length` ids of 2 or 4 bytes (little-endian), padded with `pad`: any slot's place follows
+from its number, so a reader can start anywhere and read on. Sequences go to tasks by ranges of shards,
+those of a batch and shard together and compressed. Names and bytes of shards depend on nothing but
+the rows, so a task that runs again writes the same file.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -26,9 +26,8 @@ from .packing import LINEAR, QUADRATIC, WINDOW_TOKENS, packer
 
 LENGTH, STRIDE, PAD, KEY = 1024, 4096, 50256, 20240229
 ROUNDS = 4
-#: Bytes of text to a token, only to plan how many shards of about STRIDE sequences there are.
-BYTES_A_TOKEN = 2.5
-GROUP = 1024
+#: Most tasks that write shards; with more shards than that a task writes several, one after the other.
+TASKS = 4096
 
 
 def round_keys(key: int) -> np.ndarray:
@@ -59,134 +58,153 @@ def slots(index: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray
     return out.astype(np.int64)
 
 
-def shard_of(sequence_id: np.ndarray, shards: int, key: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shard of each sequence, and its order there before the second level."""
-    mixed = feistel(sequence_id.astype(np.uint64), 64, key)
-    return ((mixed >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64), mixed.view(np.int64)
-
-
 def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def by_sequence(kind: str, shards: int, key: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+PIECES = "doc_id array<long>, start array<long>, length array<long>"
+
+
+def by_sequence(kind: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A row for each sequence, of the packer's batches: windows, so a sequence's pieces are in one."""
     names = ("sequence_id", "doc_id", "start", "length", "ids")
 
-    def done(t: pa.RecordBatch) -> pa.RecordBatch:
-        seq = t["sequence_id"].to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
-        parts = [[c[x:y] for x, y in zip(first, [*first[1:], len(seq)], strict=True)] for c in (t[n].to_pylist() for n in names[1:])]
-        ids = [np.frombuffer(b"".join(p), "<u4").astype(kind).tobytes() for p in parts[3]]
-        shard, order = shard_of(seq[first], shards, key)
-        return pa.RecordBatch.from_arrays([pa.array(shard), pa.array(order), *(pa.array(p, pa.list_(pa.int64())) for p in parts[:3]), pa.array(ids, pa.binary())], ["shard", "order", *names[1:]])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            seq = t["sequence_id"].to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
+            parts = [[c[x:y] for x, y in zip(first, [*first[1:], len(seq)], strict=True)] for c in (t[n].to_pylist() for n in names[1:])]
+            ids = [np.frombuffer(b"".join(p), "<u4").astype(kind).tobytes() for p in parts[3]]
+            yield pa.RecordBatch.from_arrays([pa.array(seq[first]), *(pa.array(p, pa.list_(pa.int64())) for p in parts[:3]), pa.array(ids, pa.binary())], [*names])
+
+    return run
+
+
+def router(firsts: dict[int, int], n: int, stride: int, key: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows of sequences: for each shard that a batch has some of, their places in it, how many
+    pieces each has, the pieces' columns, and all their ids, compressed."""
+    names = ["shard", "place", "pieces", "doc_id", "start", "length", "ids"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield done(b)
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for t in batches:
+            seq = t["sequence_id"].to_numpy()
+            if not len(seq):
+                continue
+            part, at = np.unique(seq >> 32, return_inverse=True)
+            slot = slots(np.array([firsts[p] for p in part.tolist()])[at] + (seq & (1 << 32) - 1), n, key)
+            order = np.argsort(slot)
+            t, slot = t.take(pa.array(order)), slot[order]
+            shard = slot // stride
+            first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(shard)], strict=True))
+            held = {c: t[c].to_pylist() for c in names[3:]}
+            flat = [[[x for own in held[c][a:b] for x in own] for a, b in cuts] for c in names[3:6]]
+            cols = [shard[first].tolist(), [(slot[a:b] % stride).tolist() for a, b in cuts], [list(map(len, held["length"][a:b])) for a, b in cuts], *flat, [pack(b"".join(held["ids"][a:b])) for a, b in cuts]]
+            kinds = [pa.int64(), *[pa.list_(pa.int64())] * 5, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
     return run
 
 
-def writer(path: str, length: int, kind: str, pad: int, key: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of rows sorted by shard and order: writes each shard and returns its rows with their places.
+def writer(path: str, n: int, stride: int, length: int, kind: str, pad: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the router's rows sorted by shard: writes each shard and returns a row for each of its slots.
     One shard at a time is held."""
-    width = np.dtype(kind).itemsize
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyarrow import fs
         from pyspark import TaskContext
 
         system, folder = fs.FileSystem.from_uri(path)
         task = TaskContext.get().taskAttemptId()
-        made = False
-
-        def write(t: pa.Table) -> pa.RecordBatch:
-            nonlocal made
-            if not made:
-                system.create_dir(folder)
-                made = True
-            shard = t["shard"][0].as_py()
-            place = slots(np.arange(t.num_rows), t.num_rows, key ^ shard)
-            t = t.take(pa.array(np.argsort(place)))
-            name, crcs = f"{folder}/.{shard_name(shard)}.{task}", []
-            with system.open_output_stream(name) as out:
-                for lengths, ids in zip(t["length"].to_pylist(), t["ids"].to_pylist(), strict=True):
-                    out.write(ids + np.full(length - len(ids) // width, pad, kind).tobytes())
-                    own, at, crc = np.frombuffer(ids, kind).astype("<u4").tobytes(), 0, []
-                    for n in lengths:
-                        crc.append(zlib.crc32(own[4 * at : 4 * (at + n)]))
-                        at += n
-                    crcs.append(crc)
+        system.create_dir(folder)
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def write(shard: int, rows: list[dict]) -> pa.RecordBatch:
+            out = np.full((min(stride, n - shard * stride), length), pad, kind)
+            made = []
+            for r in rows:
+                ids, at, piece = np.frombuffer(unpack(r["ids"]), kind), 0, 0
+                for place, k in zip(r["place"], r["pieces"], strict=True):
+                    own = r["length"][piece : piece + k]
+                    begin, crc = at, []
+                    for m in own:
+                        crc.append(zlib.crc32(ids[at : at + m].astype("<u4").tobytes()))
+                        at += m
+                    out[place, : at - begin] = ids[begin:at]
+                    made.append((shard, place, r["doc_id"][piece : piece + k], r["start"][piece : piece + k], own, crc))
+                    piece += k
+            name = f"{folder}/.{shard_name(shard)}.{task}"
+            with system.open_output_stream(name) as f:
+                f.write(out.tobytes())
             system.move(name, f"{folder}/{shard_name(shard)}")
-            t = t.combine_chunks()
-            return pa.RecordBatch.from_arrays([*(c.chunk(0) for c in (t["shard"], pa.chunked_array([pa.array(np.arange(t.num_rows))]), t["doc_id"], t["start"], t["length"])), pa.array(crcs, pa.list_(pa.int64()))], ["shard", "place", "doc_id", "start", "length", "crc"])
+            kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], ["shard", "place", "doc_id", "start", "length", "crc"])
 
-        held: pa.Table | None = None
+        shard, held = -1, []
         for b in batches:
-            t = pa.Table.from_batches([b])
-            t = pa.concat_tables([held, t]) if held is not None else t
-            while t.num_rows:
-                over = np.flatnonzero(t["shard"].to_numpy() != t["shard"][0].as_py())
-                if not len(over):
-                    break
-                yield write(t[: int(over[0])])
-                t = t[int(over[0]) :]
-            held = t
-        if held is not None and held.num_rows:
-            yield write(held)
+            for row in b.to_pylist():
+                if row["shard"] != shard and held:
+                    yield write(shard, held)
+                    held = []
+                shard = row["shard"]
+                held.append(row)
+        if held:
+            yield write(shard, held)
 
     return run
 
 
-def materialise(docs: DataFrame, path: str, length: int = LENGTH, stride: int = STRIDE, key: int = KEY, pad: int = PAD, tokenizer_path: str | None = None) -> DataFrame:
-    """Write the shards under path (any file system that pyarrow opens by URI), and path/manifest
-    (shard, n, first: Parquet); return a row for each piece of a document: doc_id, start, length,
-    ids_crc32, slot, shard, byte_offset. Shards have about `stride` sequences.
+def materialise(docs: DataFrame, path: str, length: int = LENGTH, stride: int = STRIDE, key: int = KEY, pad: int = PAD, tokenizer_path: str | None = None, tasks: int = TASKS) -> DataFrame:
+    """Write the shards under path (any file system that pyarrow opens by URI), and path/manifest (a row
+    of sequences, stride, length, width, key: Parquet); return a row for each piece of a document:
+    doc_id, start, length, ids_crc32, slot, shard, byte_offset.
 
-    A null or empty text is id 0 alone; equal rows are written each for itself; an empty table writes
-    no shard. Ids take 2 bytes where the vocabulary allows.
+    A null or empty text is id 0 alone; a null doc_id stays null; equal rows are written each for itself;
+    an empty table writes no shard; columns of other names play no part. Ids take 2 bytes where the
+    vocabulary allows.
     """
-    wide = tokens.tokenizer(tokenizer_path or tokens.default_path()).size > 1 << 16 or pad >= 1 << 16
+    spark, tokenizer_path = docs.sparkSession, tokenizer_path or tokens.default_path()
+    wide = tokens.tokenizer(tokenizer_path).size > 1 << 16 or pad >= 1 << 16
     kind, width = ("<u4", 4) if wide else ("<u2", 2)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)) + F.count("*")).first()[0]
-    shards = max(1, round(size / BYTES_A_TOKEN / length / stride))
-    arrays = "doc_id array<long>, start array<long>, length array<long>"
-    pack, gather = packer(length, WINDOW_TOKENS, LINEAR, QUADRATIC, tokenizer_path or tokens.default_path(), True), by_sequence(kind, shards, key)
-    rows = id_text(docs).mapInArrow(lambda batches: gather(pack(batches)), f"shard long, order long, {arrays}, ids binary")
-    ordered = rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "order")
-    written = stored(ordered.mapInArrow(writer(path, length, kind, pad, key), f"shard long, place long, {arrays}, crc array<long>"), "written")
-    counts = written.groupBy("shard").agg(F.count("*").alias("n"))
-    group = F.floor(F.col("shard") / GROUP)
-    # Sums over groups of shards are few; within a group they run on.
-    total, before = 0, {}
-    for r in sorted(counts.groupBy(group.alias("g")).agg(F.sum("n").alias("n")).collect()):
-        before[r.g] = total
-        total += r.n
-    start = F.element_at(F.create_map(*(F.lit(x) for g in before.items() for x in g)), group) if before else F.lit(0)
-    running = F.sum("n").over(Window.partitionBy(group).orderBy("shard")) - F.col("n")
-    manifest = stored(counts.select("shard", "n", (start + running).cast("long").alias("first")), "firsts")
-    manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    pack, gather = packer(length, WINDOW_TOKENS, LINEAR, QUADRATIC, tokenizer_path, True), by_sequence(kind)
+    sequences = stored(id_text(docs).mapInArrow(lambda batches: gather(pack(batches)), f"sequence_id long, {PIECES}, ids binary"), "sequences")
+    firsts, n = {}, 0
+    # A number for each partition of the input.
+    for r in sorted(sequences.groupBy(F.shiftright("sequence_id", 32).alias("part")).agg(F.count("*").alias("n")).collect()):
+        firsts[r.part] = n
+        n += r.n
+    shards = -(-n // stride)
+    parts = max(1, min(shards, tasks))
+    sent = sequences.mapInArrow(router(firsts, n, stride, key), f"shard long, place array<long>, pieces array<long>, {PIECES}, ids binary")
+    ordered = sent.repartitionById(parts, F.floor(F.col("shard") * parts / F.lit(max(1, shards))).cast("int")).sortWithinPartitions("shard")
+    written = stored(ordered.mapInArrow(writer(path, n, stride, length, kind, pad), f"shard long, place long, {PIECES}, crc array<long>"), "written")
+    spark.range(1).select(*(F.lit(v).cast("long").alias(k) for k, v in (("sequences", n), ("stride", stride), ("length", length), ("width", width), ("key", key)))).write.mode("overwrite").parquet(f"{path}/manifest")
     piece = F.explode(F.arrays_zip("doc_id", "start", "length", "crc", F.transform("length", lambda _, i: F.aggregate(F.slice("length", 1, i), F.lit(0).cast("long"), lambda a, x: a + x)).alias("before"))).alias("x")
     at = ((F.col("place") * length + F.col("x.before")) * width).cast("long")
-    return written.join(manifest, "shard").select("shard", "first", "place", piece).select("x.doc_id", "x.start", "x.length", F.col("x.crc").alias("ids_crc32"), (F.col("first") + F.col("place")).alias("slot"), "shard", at.alias("byte_offset"))
+    return written.select("shard", "place", piece).select("x.doc_id", "x.start", "x.length", F.col("x.crc").alias("ids_crc32"), (F.col("shard") * stride + F.col("place")).alias("slot"), "shard", at.alias("byte_offset"))
 
 
-def read_slots(path: str, first: int, n: int, length: int = LENGTH, width: int = 2) -> np.ndarray:
+def read_slots(path: str, first: int, n: int) -> np.ndarray:
     """n sequences from slot `first` on, or fewer at the end; reads only their bytes."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     system, folder = fs.FileSystem.from_uri(path)
-    shards = pq.read_table(f"{folder}/manifest", filesystem=system).sort_by("first").to_pylist()
-    out = []
-    for s in shards:
-        a, b = max(first, s["first"]), min(first + n, s["first"] + s["n"])
-        if a < b:
-            with system.open_input_file(f"{folder}/{shard_name(s['shard'])}") as f:
-                f.seek((a - s["first"]) * length * width)
-                out.append(np.frombuffer(f.read((b - a) * length * width), f"<u{width}").reshape(-1, length))
-    return np.concatenate(out) if out else np.zeros((0, length), f"<u{width}")
+    m = pq.read_table(f"{folder}/manifest", filesystem=system).to_pylist()[0]
+    stride, length, width = m["stride"], m["length"], m["width"]
+    out, last = [np.zeros((0, length), f"<u{width}")], min(first + n, m["sequences"])
+    while first < last:
+        shard, place = divmod(first, stride)
+        count = min(last - first, stride - place)
+        with system.open_input_file(f"{folder}/{shard_name(shard)}") as f:
+            f.seek(place * length * width)
+            out.append(np.frombuffer(f.read(count * length * width), f"<u{width}").reshape(-1, length))
+        first += count
+    return np.concatenate(out)
 
 
 def op5_materialise(spark: SparkSession, sf_dir: str) -> DataFrame:
