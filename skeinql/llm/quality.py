@@ -121,8 +121,9 @@ def filtered(docs: DataFrame, **limits: float) -> DataFrame:
     changed = stored(changed.select(F.xxhash64("doc_id", "source", "_key").alias("_verdict"), F.col("kept").alias("_kept"), "_removed").dropDuplicates(["_verdict"]), "changed")
     own, name = plain(docs)
     text = F.col(name["text"]).cast("string")
+    # Both sides grow with the corpus, so neither is sent to all.
     key = F.xxhash64(F.col(name["doc_id"]).cast("long"), F.col(name["source"]).cast("string"), F.xxhash64(text))
-    out = own.withColumn("_verdict", key).join(changed, "_verdict", "left").filter(F.coalesce("_kept", F.lit(True)))
+    out = own.withColumn("_verdict", key).join(changed.hint("merge"), "_verdict", "left").filter(F.coalesce("_kept", F.lit(True)))
     less = F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("_removed", line_column(x))), "\n")
     out = out.withColumn(name["text"], F.when(F.size("_removed") > 0, less).otherwise(text))
     if "n_chars" in name:
