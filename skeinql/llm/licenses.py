@@ -45,15 +45,17 @@ TEMPLATES = {
 #: Words that tell licenses apart, besides all that hold a digit.
 TELLING = {"affero", "lesser", "library", "by", "nc", "nd", "sa", "cc0", "mit", "apache", "mozilla", "bsd", "isc", "gnu", "not"}
 CUE = re.compile(r"licen[cs]|copyright|\(c\)|all rights reserved|distribut|can obtain|permission|public domain|spdx|subject to the|warrant", re.I)
-SENTENCE = re.compile(r"\n|(?<=[.;:!?])\s+(?=[A-Z\"(])")
+SENTENCE = re.compile(r"\n|(?<=[.;:!?])\s+(?=[A-Z\"(]|[0-9]{1,2}[.)]\s)")
 WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
+LIST_NUMBER = re.compile(r"^\s*\(?(?:[0-9]{1,2}|[a-z])[.)](?=\s|$)")
 #: Sentences without a cue that a block may hold between two with one.
 GAP = 2
 LEAST_REDUCTION, LEAST_WORDS = 0.25, 0.9
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """A list's number at the start is layout, not a word."""
+    return WORD.findall(LIST_NUMBER.sub("", text.lower()))
 
 
 @lru_cache(maxsize=1)

@@ -48,3 +48,25 @@ def test_notices_near_other_cues():
     assert [n for n, _ in names(both)] == ["Apache-2.0", "Proprietary-notice", "MIT-notice"]
     every = "\n".join(L.TEMPLATES.values())
     assert [n for n, _ in names(every)] == list(L.TEMPLATES)
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+
+
+def test_a_license_with_a_numbered_list():
+    found = [x[2] for a, b in L.candidates(BSD) for x in L.notices(BSD[a:b])]
+    assert found == ["BSD-2-Clause"]
+    flat = " ".join(BSD.split())
+    assert [x[2] for a, b in L.candidates(flat) for x in L.notices(flat[a:b])] == ["BSD-2-Clause"]
