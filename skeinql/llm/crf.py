@@ -8,7 +8,9 @@ from collections.abc import Iterable
 
 import numpy as np
 
-LABELS = ("O", "email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone")
+#: Other words, and for each kind the first word of a span and those that follow in it.
+LABELS = ("O", *(f"{part}-{kind}" for kind in KINDS for part in "BI"))
 SPECIAL = re.compile("[0-9@]")
 #: The only features of a word without a digit or @. Its one label is O: the field's states allow no other.
 PLAIN = ("plain",)
