@@ -13,7 +13,8 @@ windows long. Three steps find every window that starts earlier too, and no othe
 3. An anchor with more than CROWD different blocks, as a line that a third of all documents share, would
    fill one bucket. Its blocks part into windows, which meet by their hashes alone.
 
-A document is known by doc_id and a hash of its text. Of rows that agree in both, one is treated as
+A document is known by doc_id and a hash of its text (63 bits; a null doc_id is the largest number and a
+key that isn't negative, so it comes after all others). Of rows that agree in both, one is treated as
 the document, and the others repeat it.
 """
 
@@ -39,7 +40,7 @@ CHUNK, BUCKET = 1 << 21, 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
 NULL_ID = (1 << 63) - 1  # sorts last
 MARK, TEXT, APART = 1, 2, 3
-WHO = "doc long, key int"
+WHO = "doc long, key long"
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +119,7 @@ def batch(names: str, *cols: np.ndarray) -> pa.RecordBatch:
 
 
 FOUND = "state doc key at n anchor"
-FOUND_SCHEMA = "state int, doc long, key int, at long, n int, anchor long"
+FOUND_SCHEMA = "state int, doc long, key long, at long, n int, anchor long"
 
 
 def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +145,7 @@ def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.concatenate([[False], (d[1:] == d[:-1]) & (k[1:] == k[:-1]) & (at[1:] == at[:-1])]) & again
         anchor[again], content[again] = 0, 0
         anchor, content, d, k, at, count = (x[~place] for x in (anchor, content, d, k, at, count))
-        yield batch("anchor content doc key at n", anchor.view(np.int64), content.view(np.int64), d, k.astype(np.int32), at, count.astype(np.int32))
+        yield batch("anchor content doc key at n", anchor.view(np.int64), content.view(np.int64), d, k, at, count.astype(np.int32))
 
 
 def firsts(crowd: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -167,7 +168,7 @@ def firsts(crowd: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.Recor
             held, n_held, apart = [], 0, False
 
         def said(state: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
-            return batch(FOUND, state.astype(np.int32), r[:, 2], r[:, 3].astype(np.int32), r[:, 4], (r[:, 5] & (1 << COUNT_BITS) - 1).astype(np.int32), r[:, 0])
+            return batch(FOUND, state.astype(np.int32), r[:, 2], r[:, 3], r[:, 4], (r[:, 5] & (1 << COUNT_BITS) - 1).astype(np.int32), r[:, 0])
 
         for b in batches:
             if not b.num_rows:
@@ -240,7 +241,7 @@ def snippets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [(a["anchor"], doc, key, a["at"], a["n"], raw) for doc, key, raw, a in asked_rows([b])]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["anchor", "doc", "key", "at", "n", "raw"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["anchor", "doc", "key", "at", "n", "raw"])
 
 
 def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +256,7 @@ def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h = digest(raw[i : i + LENGTH])
                 rows.append(((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), doc, key, a["at"] + i, 1))  # no marks: only repeats count
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        yield batch("anchor content doc key at n", *(np.array(c, np.int32 if i in (3, 5) else np.int64) for i, c in enumerate(cols)))
+        yield batch("anchor content doc key at n", *(np.array(c, np.int32 if i == 5 else np.int64) for i, c in enumerate(cols)))
 
 
 def bucket_repeats(t: pa.Table) -> pa.Table:
@@ -283,7 +284,9 @@ def repeats(docs: DataFrame, crowd: int = CROWD, bucket: int = BUCKET) -> DataFr
     others; rows that agree in doc_id and text: the first has its own repeats, the others are repeats
     whole if LENGTH bytes or longer; an empty table gives none.
     """
-    sides = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    half = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), 1)
+    key = F.when(F.col("doc_id").cast("long").isNull(), half).otherwise(-half - 1)
+    sides = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), key.alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     block = f"anchor long, content long, {WHO}, at long, n int"
     by = ["anchor", "content", "doc", "key", "at"]
     meet = lambda df, key, k: df.repartition(key).sortWithinPartitions(*by).mapInArrow(firsts(k), FOUND_SCHEMA)
@@ -327,7 +330,7 @@ def repeats(docs: DataFrame, crowd: int = CROWD, bucket: int = BUCKET) -> DataFr
     again = F.row_number().over(_same_rows()) > 1
     whole = F.array(F.lit(0).cast("long"), F.octet_length("text").cast("long"))
     out = out.withColumn("_runs", F.when(again & (F.octet_length("text") >= LENGTH), whole).otherwise(F.col("_runs")))
-    return out.select(F.when(F.col("doc") == NULL_ID, F.lit(None)).otherwise(F.col("doc")).alias("doc_id"), "text", "_runs")
+    return out.select(F.when((F.col("doc") == NULL_ID) & (F.col("key") >= 0), F.lit(None)).otherwise(F.col("doc")).alias("doc_id"), "text", "_runs")
 
 
 def _same_rows():

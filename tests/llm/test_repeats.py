@@ -44,8 +44,8 @@ def brute(rows):
 @pytest.mark.parametrize(("crowd", "chunk"), [(2048, 1 << 21), (3, 700)])
 def test_query_against_brute_force(spark, tmp_path, monkeypatch, crowd, chunk):
     monkeypatch.setattr(R, "CHUNK", chunk)
-    rows = [*enumerate(corpus()), (None, corpus()[7]), (500, "same row " * 40), (500, "same row " * 40)]
-    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, state int").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [*enumerate(corpus()), (None, corpus()[7]), (500, "same row " * 40), (500, "same row " * 40), ((1 << 63) - 1, "largest id " * 20), (None, "largest id " * 20), (None, "no id " * 30)]
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, key string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     monkeypatch.setattr(R, "repeats", lambda d, f=R.repeats: f(d, crowd=crowd, bucket=20_000))
     got = sorted(map(tuple, R.op1_repeats(spark, str(tmp_path)).collect()), key=str)
     assert got == brute([r for r in rows if r[0] is not None] + [r for r in rows if r[0] is None])
