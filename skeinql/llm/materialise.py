@@ -88,7 +88,7 @@ def router(firsts: dict[int, int], n: int, stride: int, key: int) -> Callable[[I
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3).compress
+        pack = zstandard.ZstdCompressor(level=7).compress
         for t in batches:
             seq = t["sequence_id"].to_numpy()
             if not len(seq):
@@ -171,7 +171,7 @@ def materialise(docs: DataFrame, path: str, length: int = LENGTH, stride: int =
     wide = tokens.tokenizer(tokenizer_path).size > 1 << 16 or pad >= 1 << 16
     kind, width = ("<u4", 4) if wide else ("<u2", 2)
     pack, gather = packer(length, WINDOW_TOKENS, LINEAR, QUADRATIC, tokenizer_path, True), by_sequence(kind)
-    sequences = stored(id_text(docs).mapInArrow(lambda batches: gather(pack(batches)), f"sequence_id long, {PIECES}, ids binary"), "sequences")
+    sequences = stored(id_text(docs).mapInArrow(lambda batches: gather(pack(batches)), f"sequence_id long, {PIECES}, ids binary"), "sequences", **{"parquet.page.size": str(1 << 18)})
     firsts, n = {}, 0
     # A number for each partition of the input.
     for r in sorted(sequences.groupBy(F.shiftright("sequence_id", 32).alias("part")).agg(F.count("*").alias("n")).collect()):
