@@ -162,10 +162,11 @@ def groups(docs: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame
 
 def one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that stand for their groups: those whose doc_id is the component_id in found,
-    which has a row for each of docs. Only rows that share a doc_id are moved to drop all but one."""
+    which has a row for each of docs. Only rows that share a doc_id are moved to drop all but one. Both
+    sides of the join grow with the corpus, so neither is sent to all."""
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("own"))
     stay = stored(ids.filter("own").select("doc_id", "n"), "stay")
-    of = lambda rows: docs.filter("doc_id is not null").join(stay.filter(rows).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    of = lambda rows: docs.filter("doc_id is not null").join(stay.filter(rows).select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     out = of("n = 1").unionByName(docs.filter("doc_id is null"))
     return out if stay.filter("n > 1").isEmpty() else out.unionByName(of("n > 1").dropDuplicates(["doc_id"]))
 
