@@ -8,8 +8,8 @@ windows long. Three steps find every window that starts earlier too, and no othe
    block has repeats nothing.
 2. Where an anchor has different blocks, they may still share windows. A window has K bytes more to the
    left or the right of its anchor, so blocks that share one agree there too; 12 bits of a hash of
-   each side tell most others apart. The text of those left goes to buckets by anchor, and each
-   bucket's run-length index (rindex.py) is streamed by its own blocks.
+   each side tell most others apart. The text of those left goes to buckets by anchor, and the
+   blocks' matching statistics are streamed against their bucket's run-length index (rindex.py).
 3. An anchor with more than CROWD different blocks, as a line that a third of all documents share, would
    fill one bucket. Its blocks part into windows, which meet by their hashes alone.
 
@@ -266,7 +266,7 @@ def bucket_repeats(t: pa.Table) -> pa.Table:
     order = order.filter(pa.array(np.concatenate([[True], (place[1:] != place[:-1]).any(1)])))  # rows that agree in doc_id and text send the same
     raw = order["raw"].to_pylist()
     n = order["n"].to_numpy().astype(np.int64)
-    flags = RunLengthIndex(raw, LENGTH).repeats(np.arange(len(raw)))
+    flags = RunLengthIndex(raw, LENGTH).repeats(raw)
     flags &= np.arange(flags.shape[1])[None] < n[:, None]
     wide = np.zeros((len(raw), flags.shape[1] + 2), np.int8)
     wide[:, 1:-1] = flags

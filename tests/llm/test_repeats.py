@@ -55,20 +55,36 @@ def test_empty_table(spark):
     assert R.repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_index_locates_and_matches():
+@pytest.mark.parametrize("seed", range(6))
+def test_matching_statistics_against_brute_force(seed):
+    rng, length = random.Random(seed), 6
+    some = lambda letters, k: [bytes(rng.choices(letters, k=rng.randrange(0, 40))) for _ in range(k)]
+    strings = [*some(b"ab\0", 30), b"", b"ab" * 30]
+    index, text = RunLengthIndex(strings, length), b"\xff".join([*strings, b""])
+    assert len(index.starts) < index.rows
+    for asked in (strings, some(b"abc\0", 30), [b"", b"zzz"]):
+        seen = 0
+        for who, at, n, place, _ in index.stream(asked):
+            for i, a, m, p in zip(who.tolist(), at.tolist(), n.tolist(), place.tolist(), strict=True):
+                s = asked[i][a : a + length]
+                assert m == max(k for k in range(len(s) + 1) if any(s[:k] in x for x in strings))
+                assert text[p : p + m] == s[:m]
+                seen += 1
+        assert seen == sum(map(len, asked))
+
+
+@pytest.mark.parametrize("strings", [[], [b""], [b"", b""], [b"a"], [b"abcdef"] * 3])
+def test_small_indexes(strings):
+    index = RunLengthIndex(strings, 6)
+    assert [x[0].tolist() for x in index.stream([b"q"])] == ([[0]] if strings else [])
+    assert index.repeats(strings).sum() == (2 if len(strings) == 3 else 0)
+
+
+def test_long_matches_that_start_earlier():
     rng = random.Random(1)
     strings = [bytes(rng.choices(b"ab\0", k=rng.randrange(5, 40))) for _ in range(30)]
-    index = RunLengthIndex(strings, 6)
-    text, first = b"\0".join([*strings, b""]), np.cumsum([0, *(len(s) + 1 for s in strings)])[:-1]
-    assert index.starts[0] == 0 and len(index.starts) < index.rows
-    for r in range(0, index.rows, 7):
-        assert 0 <= index.locate(r) < len(text)
-    got, seen = index.repeats(np.arange(len(strings))), set()
+    got, seen = RunLengthIndex(strings, 6).repeats(strings), set()
     for i, s in enumerate(strings):
-        row = i
-        for t in range(1, len(s) + 1):
-            row = int(index.lf(np.array([row]))[0][0])
-            assert index.locate(row) == first[i] + len(s) - t
         for k in range(len(s) - 5):
             assert got[i, k] == (s[k : k + 6] in seen)
             seen.add(s[k : k + 6])
