@@ -111,13 +111,33 @@ def forest(own: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarr
     return nodes[linked], nodes[root[linked]]
 
 
+def dealt(routed: DataFrame, leaf: int) -> DataFrame:
+    """routed: (leaf, fp, home). Rows (leaf, low, high, fp, home), one for each task (leaf, low, high)
+    that a fingerprint takes part in; home marks those that all others of the task are compared with.
+
+    A leaf with more than 2 * leaf fingerprints of its own, or 8 * leaf visitors, is dealt into parts of
+    that size, visitors numbered on: pairs of own parts, and each own part with each part of visitors,
+    are tasks.
+    """
+    sizes = routed.groupBy("leaf").agg(F.count_if("home").alias("own"), F.count_if(~F.col("home")).alias("others"))
+    crowded = sizes.filter((F.col("own") > 2 * leaf) | (F.col("own") > 0) & (F.col("others") > 8 * leaf))
+    parts = stored(crowded.select("leaf", F.ceil(F.col("own") / (2 * leaf)).cast("int").alias("parts"), F.ceil(F.col("others") / (8 * leaf)).cast("int").alias("guests")), "crowded")
+    home, last = F.col("home"), F.col("parts") - 1
+    one_of = lambda n: F.pmod(F.xxhash64("fp"), F.greatest(n, F.lit(1))).cast("int")
+    at = F.when(home, one_of(F.col("parts"))).otherwise(F.col("parts") + one_of(F.col("guests")))
+    met = F.sequence(F.lit(0), F.when(home, last + F.col("guests")).otherwise(last))
+    known = F.col("parts").isNotNull()
+    rows = routed.join(parts, "leaf", "left").withColumn("at", F.when(known, at).otherwise(0)).withColumn("other", F.explode(F.when(known, met).otherwise(F.array(F.lit(0)))))
+    low = F.least("at", "other")
+    return rows.select("leaf", low.alias("low"), F.greatest("at", "other").alias("high"), "fp", (home & (F.col("at") == low)).alias("home"))
+
+
 def links(fps: DataFrame, n: int, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
     """fps: different fingerprints (_fp), n of them. Rows (u, v) of longs that connect exactly what
     links within the radius connect.
 
-    No vantage point parts a crowd of near copies, whose distances to all of them agree. A leaf with
-    more than twice `leaf` fingerprints of its own is dealt into parts of that size, and each pair of
-    parts is compared in a task of its own; visitors visit each part.
+    No vantage point parts a crowd of near copies, whose distances to all of them agree; its leaf is
+    compared in parts, a task for each pair of them, whether they are its own or visit.
     """
     points = vantage_points(levels(n, leaf))
 
@@ -137,12 +157,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, leaf: int = LEAF) -> Dat
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
     routed = fps.select("_fp").mapInArrow(route, "leaf long, fp long, home boolean")
-    crowded = stored(routed.filter("home").groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * leaf).select("leaf", F.ceil(F.col("n") / (2 * leaf)).cast("int").alias("parts")), "crowded")
-    dealt = routed.join(crowded, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low, high = (F.when(F.col("home"), f("part", "other")).otherwise(F.col("other")) for f in (F.least, F.greatest))
-    dealt = dealt.select("leaf", low.alias("low"), high.alias("high"), "fp", (F.col("home") & (F.col("part") == low)).alias("home"))
-    return dealt.groupBy("leaf", "low", "high").applyInArrow(compare, "u long, v long")
+    return dealt(routed, leaf).groupBy("leaf", "low", "high").applyInArrow(compare, "u long, v long")
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:

@@ -73,6 +73,18 @@ def test_links_at_every_depth(spark, leaf):
     assert len(pairs) == len(set(got)) == len(set(want))
 
 
+def test_no_task_holds_a_crowd_or_its_visitors(spark):
+    rows = [(1, x, x < 900) for x in range(3000)] + [(2, 5, True), (3, 6, False)]
+    got = S.dealt(spark.createDataFrame(rows, "leaf long, fp long, home boolean"), 50).collect()
+    tasks = {}
+    for r in got:
+        tasks.setdefault((r.leaf, r.low, r.high), []).append((r.fp, r.home))
+    assert max(map(len, tasks.values())) < 700
+    pairs = {(a, b) for t in tasks.values() for a, own in t if own for b, _ in t}
+    assert all((min(a, b), max(a, b)) in pairs or (max(a, b), min(a, b)) in pairs for a in range(0, 900, 7) for b in range(3000))
+    assert not any(a >= 900 for a, _ in pairs) and {r.fp for r in got if r.leaf == 2} == {5}
+
+
 def test_near_dedup_keeps_one_of_a_group(spark):
     rows = [(5, "a b c d", "x"), (2, "A b c d", "y"), (2, "A b c d", "y"), (7, "other words stand here", "z"), (None, "a b c d", "n"), (9, None, None), (8, "", "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, _fp string")
