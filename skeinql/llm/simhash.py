@@ -91,6 +91,18 @@ def leaves(fps: np.ndarray, points: np.ndarray, radius: int) -> tuple[np.ndarray
     return keys, np.broadcast_to(np.arange(len(fps)), keys.shape)
 
 
+def joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """root, where every place names the least of its tree, after i and j of each link are in one tree."""
+    while True:
+        a, b = root[i], root[j]
+        if not (apart := a != b).any():
+            return root
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (up := root[root])).any():
+            root = up
+
+
 def forest(own: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a leaf's fingerprints with each other and with its visitors, as a forest."""
     nodes = np.concatenate([own, visitors])
@@ -98,22 +110,15 @@ def forest(own: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarr
     rows = max(1, CELLS // max(1, len(own)))
     for k in range(0, len(nodes), rows):
         i, j = np.nonzero(np.bitwise_count(nodes[k : k + rows, None] ^ own[None]) <= radius)
-        i += k
-        while True:
-            a, b = root[i], root[j]
-            if not (apart := a != b).any():
-                break
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (root != (up := root[root])).any():
-                root = up
+        root = joined(root, i + k, j)
     linked = np.flatnonzero(root != np.arange(len(nodes)))
     return nodes[linked], nodes[root[linked]]
 
 
-def dealt(routed: DataFrame, leaf: int) -> DataFrame:
-    """routed: (leaf, fp, home). Rows (leaf, low, high, fp, home), one for each task (leaf, low, high)
-    that a fingerprint takes part in; home marks those that all others of the task are compared with.
+def dealt(routed: DataFrame, leaf: int, *more: str) -> DataFrame:
+    """routed: (leaf, fp, home) and more. Rows (leaf, low, high, fp, home) and more, one for each task
+    (leaf, low, high) that a fingerprint takes part in; home marks those that all others of the task
+    are compared with.
 
     A leaf with more than 2 * leaf fingerprints of its own, or 8 * leaf visitors, is dealt into parts of
     that size, visitors numbered on: pairs of own parts, and each own part with each part of visitors,
@@ -129,7 +134,7 @@ def dealt(routed: DataFrame, leaf: int) -> DataFrame:
     known = F.col("parts").isNotNull()
     rows = routed.join(parts, "leaf", "left").withColumn("at", F.when(known, at).otherwise(0)).withColumn("other", F.explode(F.when(known, met).otherwise(F.array(F.lit(0)))))
     low = F.least("at", "other")
-    return rows.select("leaf", low.alias("low"), F.greatest("at", "other").alias("high"), "fp", (home & (F.col("at") == low)).alias("home"))
+    return rows.select("leaf", low.alias("low"), F.greatest("at", "other").alias("high"), "fp", (home & (F.col("at") == low)).alias("home"), *more)
 
 
 def links(fps: DataFrame, n: int, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:

@@ -1,13 +1,19 @@
 """Near copies: documents whose sets of five-word shingles have Jaccard similarity 0.8 or more.
 
-Candidates are documents that share a block: BANDS blocks, each of the least hashes of ROWS
-permutations, meet at similarity s with probability 1 - (1 - s^ROWS)^BANDS (0.99997 at 0.8). All
-different sets of a block are compared exactly, and give a spanning forest of their links.
+Candidates come from SimHash fingerprints of the sets through vantage points. At similarity s a bit
+differs with probability acos(2s / (1 + s)) / pi, 0.15 at 0.8, too often for one search of 64 bits. So
+a fingerprint is long, and each of several tables searches some of its bits: PREFIX of them part the
+table, and WIDTH others are searched within RADIUS by operator 3's shells around vantage points, by
+the triangle inequality and parity. Fingerprints that meet there are candidates if they are close on
+the bits that go along. Those of a table are found with probability P, and there are as many tables as
+(1 - P)^tables < MISSED asks for. All different sets that candidates connect are then compared
+exactly, and give a spanning forest of their links.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,21 +23,29 @@ from pyspark.sql import functions as F
 
 from ._shared import appended, id_text, stored
 from .components import components
-from .simhash import hashes, one_each
+from .simhash import dealt, hashes, joined, leaves, one_each
 
 WORDS, SIMILARITY = 5, 0.8
-ROWS, BANDS = 4, 20
 SEED = 42
-#: Hashes of a text that are permuted together; most sets of a part of a block, and their bytes.
-CHUNK, PART, PART_BYTES = 4096, 500, 1 << 22
-#: Rows whose sets are made before they are passed on.
+#: Blocks of 64 bits of a fingerprint, and those that go along to where it is compared.
+BLOCKS, ALONG = 16, 3
+#: Bits that are searched in a table, the vantage points (their distances to random bits are
+#: uncorrelated), and by how many bits others may differ.
+WIDTH, POINTS, RADIUS = 8, np.array([0x00, 0x0F, 0x33], np.uint64), 1
+#: Chance that all tables miss a pair of the least similarity; standard deviations by which a link's
+#: bits may differ more than they are expected to.
+MISSED, MARGIN = 1e-5, 5.5
+#: Expected fingerprints of a prefix, half of the most in a task; pairs that are compared together.
+MEETING, CELLS = 8000, 1 << 18
+#: Most sets of a part of a group, and their bytes.
+PART, PART_BYTES = 500, 1 << 22
+#: Rows whose sets are made, or fingerprints dealt, before they are passed on.
 SLICE = 256
 
 
 @functools.cache
-def permutations() -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.random.default_rng(SEED).integers(0, 1 << 64, (2, ROWS * BANDS), np.uint64, endpoint=False)
-    return a | np.uint64(1), b
+def keys() -> np.ndarray:
+    return np.random.default_rng(SEED).integers(0, 1 << 64, BLOCKS, np.uint64, endpoint=False)
 
 
 def digest(values: np.ndarray) -> int:
@@ -45,15 +59,102 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(hashes(text, words))
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A row for each hash: other 64 bits for each block (the finalizer of SplitMix64)."""
+    z = h[:, None] ^ keys()
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def blocks(s: np.ndarray) -> list[int]:
-    """A number for each band; none for an empty set."""
+    """A set's SimHash fingerprint, in signed blocks of 64 bits: those set in over half of its hashes;
+    none for an empty set."""
     if not len(s):
         return []
-    a, b = permutations()
-    least = np.full(len(a), ~np.uint64(0))
-    for k in range(0, len(s), CHUNK):
-        np.minimum(least, ((s[k : k + CHUNK] ^ b[:, None]) * a[:, None]).min(1), out=least)
-    return [digest(np.append(least[k : k + ROWS], np.uint64(k))) for k in range(0, len(least), ROWS)]
+    count = np.zeros(64 * BLOCKS, np.int64)
+    for k in range(0, len(s), 255):
+        count += np.unpackbits(mixed(s[k : k + 255]).view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return np.packbits(2 * count > len(s)).view(np.int64).tolist()
+
+
+def differs(least: float) -> float:
+    """The chance that a bit differs between sets of that similarity."""
+    return math.acos(2 * least / (1 + least)) / math.pi
+
+
+def tables(n: int, least: float) -> tuple[int, int]:
+    """Bits of a prefix, and how many tables n texts need."""
+    p, prefix = differs(least), max(0, math.ceil(math.log2(max(n, 1) / MEETING)))
+    found = (1 - p) ** prefix * sum(math.comb(WIDTH, k) * p**k * (1 - p) ** (WIDTH - k) for k in range(RADIUS + 1))
+    return prefix, math.ceil(math.log(MISSED) / math.log1p(-found)) if found < 1 else 1
+
+
+def close(bits: int, least: float) -> int:
+    """By how many of so many bits candidates may differ."""
+    p = differs(least)
+    return math.floor(p * bits + MARGIN * math.sqrt(p * (1 - p) * bits))
+
+
+def places(bits: int, width: int, count: int) -> np.ndarray:
+    """For each table the places of its bits in a fingerprint; a place is taken again once all are."""
+    rng, each = np.random.default_rng(SEED), bits // width
+    return np.concatenate([rng.permutation(bits)[: each * width].reshape(each, width) for _ in range(-(-count // each))])[:count]
+
+
+def met(prints: np.ndarray, spots: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """prints: a row of blocks for each fingerprint, spots: the bits that are searched. Candidates that
+    meet around the vantage points, as a forest of their places."""
+    at, rows = leaves(spots, POINTS, RADIUS)
+    home = np.zeros(at.shape, bool)
+    home[0] = True
+    at, rows, home = at.ravel(), rows.ravel(), home.ravel()
+    order = np.lexsort((~home, at))
+    some, root = min(2, prints.shape[1]), np.arange(len(prints))
+    first, whole, column = close(64 * some, least), close(64 * prints.shape[1], least), [np.ascontiguousarray(c) for c in prints.T]
+    for leaf in np.split(order, np.flatnonzero(np.diff(at[order])) + 1):
+        own, visit = rows[leaf[home[leaf]]], rows[leaf]
+        step = max(1, CELLS // max(1, len(own)))
+        for k in range(0, len(visit) if len(own) else 0, step):
+            d = np.bitwise_count(column[0][visit[k : k + step], None] ^ column[0][own])
+            for c in column[1:some]:
+                d += np.bitwise_count(c[visit[k : k + step], None] ^ c[own])
+            i, j = np.divmod(np.flatnonzero(d <= first), len(own))
+            i, j = visit[k + i], own[j]
+            near = np.bitwise_count(prints[i] ^ prints[j]).sum(1) <= whole
+            root = joined(root, i[near], j[near])
+    linked = np.flatnonzero(root != np.arange(len(root)))
+    return linked, root[linked]
+
+
+def candidates(prints: DataFrame, n: int, least: float = SIMILARITY) -> DataFrame:
+    """prints: (_node, _blocks) of about n different sets, none empty. Rows (u, v) that connect the
+    nodes of sets that may be similar.
+
+    A prefix that over 2 * MEETING fingerprints share is dealt into parts of that size, and each pair of
+    parts is searched in a task of its own.
+    """
+    prefix, count = tables(n, least)
+    along = [f"_b{k}" for k in range(ALONG)]
+
+    def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), SLICE):
+                b = batch.slice(k, SLICE)
+                own = b.column(1).flatten().to_numpy().reshape(len(b), -1)
+                bits = np.unpackbits(own.view(np.uint8), axis=1)
+                taken = bits[:, places(bits.shape[1], WIDTH + prefix, count)] @ (1 << np.arange(WIDTH + prefix))
+                leaf, spot = (np.arange(count) << prefix) + (taken >> WIDTH), taken & ((1 << WIDTH) - 1)
+                more = [own[:, min(c, own.shape[1] - 1)].repeat(count) for c in range(ALONG)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (leaf.ravel(), b.column(0).to_numpy().repeat(count), spot.ravel(), *more)], ["leaf", "fp", "_spot", *along])
+
+    def compare(t: pa.Table) -> pa.Table:
+        u, v = met(np.stack([t[c].to_numpy() for c in along], 1).view(np.uint64), t["_spot"].to_numpy().view(np.uint64), least)
+        node = t["fp"].to_numpy()
+        return pa.table({"u": node[u], "v": node[v]})
+
+    routed = prints.select("_node", "_blocks").mapInArrow(route, "leaf long, fp long, _spot long, " + ", ".join(f"{c} long" for c in along))
+    return dealt(routed.withColumn("home", F.lit(True)), MEETING, "_spot", *along).groupBy("leaf", "low", "high").applyInArrow(compare, "u long, v long")
 
 
 def forest(own: list[np.ndarray], others: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -98,10 +199,10 @@ def compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     made = known.groupBy("block").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("_node")).alias("x"), F.bit_xor(F.xxhash64("_node", F.lit(1))).alias("y"))
     made = made.groupBy("n", "bytes", "x", "y").agg(F.min("block").alias("block"))
     parts = stored(made.select("block", F.greatest(F.lit(1), F.ceil(F.col("n") / PART), F.ceil(F.col("bytes") / PART_BYTES)).cast("int").alias("parts")), "parts")
-    dealt = members.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("_node"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "_node", "part")
-    return dealt.join(sets, "_node").groupBy("block", "low", "high").applyInArrow(compare, "u long, v long")
+    tasks = members.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("_node"), "parts").cast("int"))
+    tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = tasks.select("block", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "_node", "part")
+    return tasks.join(sets, "_node").groupBy("block", "low", "high").applyInArrow(compare, "u long, v long")
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -128,11 +229,10 @@ def similar_groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARIT
     slim = id_text(docs).withColumn("_key", F.xxhash64("text")).withColumn("_at", F.coalesce("doc_id", F.lit(0)))
     prints = stored(appended(slim, "text", "_node long, _blocks array<long>", start).drop("text"), "prints")
     first = stored(prints.groupBy("_node").agg(F.min("doc_id").alias("least"), F.min(F.struct("_key", "_at")).alias("_row"), F.first("_blocks").alias("_blocks")), "different")
-    each = first.select("_node", F.explode("_blocks").alias("block"))
-    crowds = stored(each.groupBy("block").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "shared")
-    members = stored(each.join(crowds, "block"), "members")
-    met = members.select("_node").distinct().join(first.select("_node", "_row._key", "_row._at"), "_node")
-    texts = stored(slim.select("_key", "_at", "text").join(met, ["_key", "_at"]).dropDuplicates(["_key", "_at"]).select("_node", "text"), "texts")
+    found = stored(components(candidates(first.filter(F.size("_blocks") > 0), first.count(), least)), "candidates")
+    members = stored(found.select(F.col("label").alias("block"), F.col("node").alias("_node")).union(found.select("label", "label").distinct()), "members")
+    wanted = members.select("_node").join(first.select("_node", "_row._key", "_row._at"), "_node")
+    texts = stored(slim.select("_key", "_at", "text").join(wanted, ["_key", "_at"]).dropDuplicates(["_key", "_at"]).select("_node", "text"), "texts")
     sets = stored(texts.mapInArrow(sets_of, "_node long, _set binary"), "sets")
     star = stored(components(compared(members, sets, least)), "star")
     labelled = stored(first.join(star, F.col("_node") == F.col("node"), "left").select("_node", "least", F.coalesce("label", "_node").alias("label")), "labelled")

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
 from skeinql.llm import similar as N
 
@@ -83,3 +85,49 @@ def test_copies_whose_doc_ids_are_null_zero_or_repeated(spark):
     rows = [(None, text), (None, text), (0, text), (0, text), *((i, text) for i in range(3, 40)), (None, near), (50, near), (50, near), (60, alone), (None, "z " + alone)]
     found = N.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id) for r in found) == sorted((i is None, i or 0, 60 if "v1 " in t else 0) for i, t in rows)
+
+
+def test_blocks_are_simhash_fingerprints():
+    ones = (1 << 64) - 1
+
+    def mixed(h, key):
+        z = h ^ key
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & ones
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & ones
+        return z ^ z >> 31
+
+    for text in ("one", "a b c d e f", " ".join(f"w{i}" for i in range(700))):
+        s = N.shingles(text)
+        got = np.array(N.blocks(s), np.int64).view(np.uint64).tolist()
+        for key, block in zip(N.keys().tolist(), got, strict=True):
+            own = [mixed(int(h), key).to_bytes(8, "little") for h in s]
+            bits = [sum(h[b // 8] >> (7 - b % 8) & 1 for h in own) for b in range(64)]
+            assert block.to_bytes(8, "little") == bytes(sum((2 * bits[8 * y + x] > len(s)) << (7 - x) for x in range(8)) for y in range(8))
+    assert N.blocks(N.shingles("")) == []
+
+
+def test_vantage_points_lead_to_all_that_differ_in_a_bit():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 64, (60, 3), np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (12, 60, 3), np.uint64)
+    prints = np.concatenate([base, *(base ^ f for f in flips)])
+    spots = rng.integers(0, 256, 60, np.uint64)
+    spots = np.concatenate([spots, *(spots ^ np.uint64(1 << k) for k in range(8)), *[spots] * 4])
+    u, v = N.met(prints, spots, 0.8)
+    assert len(u) == len(prints) - 60 and (u % 60 == v % 60).all()
+
+
+def test_candidates_are_found_through_simhash_fingerprints(spark, monkeypatch):
+    rng = random.Random(4)
+    sets = []
+    for _ in range(500):  # 0.8 exactly: as many of each as 1 of 9 are the other's
+        n = rng.choice([9, 45, 90, 360])
+        own = [rng.getrandbits(64) for _ in range(n + n // 9)]
+        sets += [own[:n], own[n // 9 :]]
+    rows = [(i, N.blocks(np.array(sorted(s), np.uint64))) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "_node long, _blocks array<long>")
+    for meeting in (8000, 100):
+        monkeypatch.setattr(N, "MEETING", meeting)
+        links = {(r.u, r.v) for r in N.candidates(df, len(rows)).collect()}
+        assert sum(((2 * k + 1, 2 * k) in links) or ((2 * k, 2 * k + 1) in links) for k in range(500)) == 500
+        assert len(links) == 500
